@@ -1,0 +1,47 @@
+"""Per-key running values that do not need all rows of a key in one task.
+
+The rows of a key are cut into time segments. Within a segment an ordinary window does the work;
+what crosses a segment border comes from a summary with one row per key and segment. A key that
+holds a large part of the table is thereby spread over as many tasks as it has segments.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+DEFAULT_SEGMENT = "hour"
+
+
+def _cut(df: DataFrame, time: str, segment: str) -> DataFrame:
+    return df.withColumn("_segment", F.date_trunc(segment, F.col(time)))
+
+
+def next_time(df: DataFrame, keys: Sequence[str], time: str, tie: str, out: str,
+              segment: str = DEFAULT_SEGMENT) -> DataFrame:
+    """Add the time of the key's next row in (time, tie) order; null on its last row."""
+    cut = _cut(df, time, segment)
+    inside = Window.partitionBy(*keys, "_segment").orderBy(time, tie)
+    across = Window.partitionBy(*keys).orderBy("_segment")
+    heads = (cut.groupBy(*keys, "_segment").agg(F.min(time).alias("_head"))
+             .select(*keys, "_segment", F.lead("_head").over(across).alias("_next_head")))
+    return (cut.withColumn("_inside", F.lead(time).over(inside))
+            .join(heads, [*keys, "_segment"])
+            .select(*df.columns, F.coalesce("_inside", "_next_head").alias(out)))
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], time: str, tie: str, value: Column, out: str,
+                segment: str = DEFAULT_SEGMENT) -> DataFrame:
+    """Add the running sum of ``value`` over the key's rows in (time, tie) order."""
+    cut = _cut(df, time, segment).withColumn("_value", value)
+    inside = (Window.partitionBy(*keys, "_segment").orderBy(time, tie)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    earlier = (Window.partitionBy(*keys).orderBy("_segment")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    carried = (cut.groupBy(*keys, "_segment").agg(F.sum("_value").alias("_sum"))
+               .select(*keys, "_segment",
+                       F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carry")))
+    return (cut.withColumn("_inside", F.sum("_value").over(inside))
+            .join(carried, [*keys, "_segment"])
+            .select(*df.columns, (F.col("_inside") + F.col("_carry")).alias(out)))
