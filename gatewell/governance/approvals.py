@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gatewell.operators.segments import DEFAULT_SEGMENT, running_sum
+from gatewell.operators.running import MAX_GROUP, running_sum
 
 REQUESTED, APPROVED, REJECTED, PENDING = "requested", "approved", "rejected", "pending"
 
@@ -14,7 +14,7 @@ def approval_id(pipeline_id, stage, event_id):
     return F.sha2(F.concat_ws("_", pipeline_id, stage, event_id.cast("string")), 256)
 
 
-def episodes(log: DataFrame, segment: str = DEFAULT_SEGMENT) -> DataFrame:
+def episodes(log: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     """One row per request: when it was opened and the first decision after it.
 
     A new request starts a new episode; later decisions in an episode, and decisions before any
@@ -24,7 +24,7 @@ def episodes(log: DataFrame, segment: str = DEFAULT_SEGMENT) -> DataFrame:
                                                              "action")
     is_request = F.col("action") == REQUESTED
     numbered = running_sum(log, ["approval_id"], "ts", "event_id",
-                           F.when(is_request, 1).otherwise(0), "episode", segment)
+                           F.when(is_request, 1).otherwise(0), "episode", max_group)
     decision = F.when(F.col("action").isin(APPROVED, REJECTED),
                       F.struct("ts", "event_id", "action"))
     return (numbered.where(F.col("episode") > 0).groupBy("approval_id", "episode")
@@ -35,10 +35,10 @@ def episodes(log: DataFrame, segment: str = DEFAULT_SEGMENT) -> DataFrame:
                     F.col("_first.ts").alias("decided_at")))
 
 
-def current_state(log: DataFrame, segment: str = DEFAULT_SEGMENT) -> DataFrame:
+def current_state(log: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     """The latest episode per approval id, for every id that ever made a request."""
     latest = F.max_by(F.struct("state", "requested_at", "decided_at"), "episode")
-    return (episodes(log, segment).groupBy("approval_id")
+    return (episodes(log, max_group).groupBy("approval_id")
             .agg(F.count(F.lit(1)).alias("episodes"), latest.alias("_last"))
             .select("approval_id", "episodes", "_last.state", "_last.requested_at",
                     "_last.decided_at"))

@@ -38,7 +38,8 @@ def upstream(edges: DataFrame, starts: DataFrame | None = None, max_depth: int =
     Ancestors shared by very many nodes are heavy join keys and take the skew-safe route. Cycles
     end because a pair is expanded only once.
     """
-    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    edges = materialize(edges.select("src", "dst").where("src is not null and dst is not null")
+                        .distinct(), "edges")
     step = edges.select(F.col("dst").alias("_child"), F.col("src").alias("_parent"))
     first = edges if starts is None else edges.join(
         starts.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi")

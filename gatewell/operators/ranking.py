@@ -12,18 +12,26 @@ from gatewell.session import materialize
 ROW_BITS = 33
 
 
+def sorted_parts(df: DataFrame, order_by: Sequence[Column | str]) -> DataFrame:
+    """Range-sort a frame over all tasks and store it, with ``_part`` and ``_row`` (from 0).
+
+    Parts are of about equal size whatever the values are, because the sampled borders cover the
+    whole order. The order must be total (end it with a key), so that retried tasks reproduce it.
+    """
+    stored = materialize(
+        df.orderBy(*order_by).withColumn("_place", F.monotonically_increasing_id()), "sorted")
+    return (stored.withColumn("_part", F.shiftright("_place", ROW_BITS))
+            .withColumn("_row", F.col("_place").bitwiseAND((1 << ROW_BITS) - 1)).drop("_place"))
+
+
 def global_rank(df: DataFrame, order_by: Sequence[Column | str], rank: str = "rank",
                 total: str | None = None) -> DataFrame:
     """Add the 1-based position of every row in the order given.
 
-    The rows are range-sorted over all tasks and stored with their position inside the partition;
-    the partition sizes then give each partition its offset. The order must be total (end it with a
-    key), so that retried tasks reproduce it. Ties and heavy values are split like any other rows.
+    The sizes of the sorted parts give each part its offset. Ties and heavy values are split like
+    any other rows.
     """
-    stored = materialize(
-        df.orderBy(*order_by).withColumn("_place", F.monotonically_increasing_id()), "rank")
-    placed = (stored.withColumn("_part", F.shiftright("_place", ROW_BITS))
-              .withColumn("_row", F.col("_place").bitwiseAND((1 << ROW_BITS) - 1)))
+    placed = sorted_parts(df, order_by)
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     # One row per shuffle partition: small enough for an unpartitioned window and a broadcast.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -81,13 +89,25 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     return ends.select(*keys, *result)
 
 
+# Up to this many rows per group Spark itself cuts groups down before the shuffle (the default of
+# spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
+SALTS = 64
+
+
 def top_per_group(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column | str],
                   n: int, rank: str = "rank") -> DataFrame:
     """The first ``n`` rows of each group.
 
     Filtering ``row_number`` lets Spark keep at most ``n`` rows per group in every map task before
-    the shuffle, so a hot group shrinks before it meets in one task.
+    the shuffle, so a hot group shrinks before it meets in one task. For an ``n`` beyond Spark's
+    limit for that, the groups are first cut down in salted parts.
     """
+    if n > GROUP_LIMIT:
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
+        part = Window.partitionBy(*keys, "_salt").orderBy(*order_by)
+        df = (df.withColumn("_salt", salt).withColumn("_part_rank", F.row_number().over(part))
+              .where(F.col("_part_rank") <= n).drop("_salt", "_part_rank"))
     window = Window.partitionBy(*keys).orderBy(*order_by)
     return (df.withColumn(rank, F.row_number().over(window))
             .where(F.col(rank) <= n)

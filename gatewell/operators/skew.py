@@ -8,6 +8,7 @@ it holds at least ``min_share`` of the rows, so there can never be more than ``1
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
@@ -34,6 +35,14 @@ def hot_keys(df: DataFrame, key: str, min_share: float = MIN_SHARE) -> list[Any]
     return [item["item"] for item in found["top"] if item["count"] >= found["total"] * min_share]
 
 
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """About how many rows the most frequent key has."""
+    found = df.agg(F.expr(
+        f"approx_top_k(xxhash64({', '.join(quoted(k) for k in keys)}), 1, 2000)").alias("top"))
+    top = found.first()["top"]
+    return top[0]["count"] if top else 0
+
+
 def skew_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
               how: str = "inner", min_share: float = MIN_SHARE) -> DataFrame:
     """Join ``big`` to ``small`` (``inner`` or ``left``), with heavy keys of ``big`` kept apart.

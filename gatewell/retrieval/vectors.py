@@ -55,9 +55,9 @@ def _scoring(key: str, k: int):
     return unit_rows, best
 
 
-def _few_queries(source: DataFrame, key: str, queries: DataFrame, k: int, schema: str) -> DataFrame:
+def _few_queries(source: DataFrame, key: str, listed: pa.Table, k: int, schema: str) -> DataFrame:
     """All queries travel with the task: at most ``QUERY_BLOCK`` of them, checked by the caller."""
-    listed = queries.toArrow().combine_chunks()
+    listed = listed.combine_chunks()
     ids = listed.column("query_id").combine_chunks()
     unit_rows, best = _scoring(key, k)
     wanted = unit_rows(listed.column("query").combine_chunks(), len(ids))
@@ -111,10 +111,10 @@ def vector_topk(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k
     queries = queries.select("query_id", "query")
     types = {**dict(source.dtypes), **dict(queries.dtypes)}
     schema = f"query_id {types['query_id']}, `{key}` {types[key]}, similarity double"
-    n_queries = queries.count()
-    if n_queries <= QUERY_BLOCK:
-        found = _few_queries(source, key, queries, k, schema)
+    listed = queries.limit(QUERY_BLOCK + 1).toArrow()
+    if listed.num_rows <= QUERY_BLOCK:
+        found = _few_queries(source, key, listed, k, schema)
     else:
-        found = _many_queries(source, key, vector, queries, n_queries, k, schema)
+        found = _many_queries(source, key, vector, queries, queries.count(), k, schema)
     return top_per_group(found, ["query_id"], [F.col("similarity").desc(), F.col(key).asc()], k,
                          "rank")

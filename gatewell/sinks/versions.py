@@ -30,13 +30,19 @@ class VersionedTable:
                                    .alias("v")).first()["v"]
         return (last["version"], last["physical_name"]) if last else None
 
+    def _next(self) -> int:
+        now = self.current()
+        return (now[0] if now else 0) + 1
+
     def stage(self, df: DataFrame, *measures) -> tuple[str, dict]:
         """Write a frame as the next physical table without showing it.
 
         ``measures`` are aggregates computed while the rows are written.
         """
-        now = self.current()
-        physical = f"{self.name}__v{(now[0] if now else 0) + 1}"
+        return self._stage(df, self._next(), *measures)
+
+    def _stage(self, df: DataFrame, version: int, *measures) -> tuple[str, dict]:
+        physical = f"{self.name}__v{version}"
         seen = Observation()
         (df.observe(seen, F.count(F.lit(1)).alias("rows"), *measures)
          .write.mode("overwrite").format("parquet").saveAsTable(physical))
@@ -51,14 +57,15 @@ class VersionedTable:
 
     def show(self, physical: str, ts: datetime.datetime) -> int:
         """Point the public name at a staged table."""
-        now = self.current()
-        version = (now[0] if now else 0) + 1
+        version = self._next()
         self._show(physical, version, "write", ts)
         return version
 
     def write(self, df: DataFrame, ts: datetime.datetime) -> int:
-        physical, _ = self.stage(df)
-        return self.show(physical, ts)
+        version = self._next()
+        physical, _ = self._stage(df, version)
+        self._show(physical, version, "write", ts)
+        return version
 
     def rollback_last_change(self, ts: datetime.datetime) -> int:
         """Show again what was visible before the last change.
