@@ -27,8 +27,16 @@ def found(column: Column, detector: str) -> Column:
     return match
 
 
-def masked(column: Column) -> Column:
-    """The text with every match of every detector replaced."""
-    for detector, pattern in DETECTORS.items():
-        column = F.regexp_replace(column, pattern, REPLACEMENTS[detector])
-    return column
+def masked_sql(column: str) -> str:
+    """SQL text for the column with every match of every detector replaced."""
+    def replaced(value: str, detector: str) -> str:
+        return f"regexp_replace({value}, r'{DETECTORS[detector]}', '{REPLACEMENTS[detector]}')"
+
+    # The e-mail pattern is by far the dearest and few texts have an @, so it goes first, on the
+    # bare column, behind a substring test.
+    result = (f"CASE WHEN contains({column}, '@') THEN {replaced(column, 'email')} "
+              f"ELSE {column} END")
+    for detector in DETECTORS:
+        if detector != "email":
+            result = replaced(result, detector)
+    return result

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import datetime
+import hashlib
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gatewell.operators.running import MAX_GROUP, running_sum
 
 REQUESTED, APPROVED, REJECTED, PENDING = "requested", "approved", "rejected", "pending"
 
 
-def approval_id(pipeline_id, stage, event_id):
-    """An id that cannot collide: it depends on the event, not on the clock."""
-    return F.sha2(F.concat_ws("_", pipeline_id, stage, event_id.cast("string")), 256)
-
-
 def episodes(log: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     """One row per request: when it was opened and the first decision after it.
 
@@ -42,3 +41,59 @@ def current_state(log: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("episodes"), latest.alias("_last"))
             .select("approval_id", "episodes", "_last.state", "_last.requested_at",
                     "_last.decided_at"))
+
+
+LOG_SCHEMA = ("event_id bigint, ts timestamp_ntz, approval_id string, pipeline_id string, "
+              "stage string, action string, actor string, comment string")
+
+
+class ApprovalLog:
+    """Requests and decisions appended to a folder; the state is always folded from the events."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def events(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(LOG_SCHEMA).parquet(self.path)
+        except AnalysisException:  # nothing was appended yet
+            return self.spark.createDataFrame([], LOG_SCHEMA)
+
+    def _append(self, ts, approval_id, pipeline_id, stage, action, actor, comment) -> None:
+        latest = self.events().agg(F.max("event_id").alias("n")).first()["n"]
+        row = (0 if latest is None else latest + 1, ts, approval_id, pipeline_id, stage, action,
+               actor, comment)
+        (self.spark.createDataFrame([row], LOG_SCHEMA).coalesce(1)
+         .write.mode("append").parquet(self.path))
+
+    def request(self, pipeline_id: str, stage: str, description: str, ts: datetime.datetime,
+                actor: str = "build") -> str:
+        """Open a request; the same request at the same time has the same id."""
+        text = "|".join((pipeline_id, stage, description, ts.isoformat()))
+        approval_id = f"{pipeline_id}_{stage}_{hashlib.sha256(text.encode()).hexdigest()[:16]}"
+        self._append(ts, approval_id, pipeline_id, stage, REQUESTED, actor, description)
+        return approval_id
+
+    def status(self, approval_id: str) -> str | None:
+        """pending, approved or rejected; None for an id without a request."""
+        row = current_state(self.events().where(F.col("approval_id") == approval_id)).first()
+        return row["state"] if row else None
+
+    def _decide(self, approval_id: str, action: str, actor: str, comment: str,
+                ts: datetime.datetime) -> bool:
+        if self.status(approval_id) != PENDING:
+            return False
+        request = self.events().where((F.col("approval_id") == approval_id)
+                                      & (F.col("action") == REQUESTED)).first()
+        self._append(ts, approval_id, request["pipeline_id"], request["stage"], action, actor,
+                     comment)
+        return True
+
+    def approve(self, approval_id: str, approver: str, ts: datetime.datetime,
+                comment: str = "") -> bool:
+        """True when the request was pending; otherwise nothing changes."""
+        return self._decide(approval_id, APPROVED, approver, comment, ts)
+
+    def reject(self, approval_id: str, approver: str, ts: datetime.datetime,
+               reason: str = "") -> bool:
+        return self._decide(approval_id, REJECTED, approver, reason, ts)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
+import json
+from collections.abc import Mapping, Sequence
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 AUDIT_SCHEMA = "event_id bigint, ts timestamp_ntz, actor string, action string, details string"
@@ -20,3 +25,14 @@ def append_audit(rows: DataFrame, path: str, batch_id: str) -> None:
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{AUDIT_SCHEMA}, batch_id string, day date").parquet(path)
+
+
+def log_actions(spark: SparkSession, path: str, batch_id: str, ts: datetime.datetime, actor: str,
+                actions: Sequence[tuple[str, Mapping[str, Any]]]) -> list[dict[str, Any]]:
+    """Append a few actions of one actor, in order, and return the entries."""
+    entries = [{"event_id": number, "ts": ts, "actor": actor, "action": action,
+                "details": json.dumps(dict(details), sort_keys=True, default=str)}
+               for number, (action, details) in enumerate(actions)]
+    rows = [tuple(entry.values()) for entry in entries]
+    append_audit(spark.createDataFrame(rows, AUDIT_SCHEMA).coalesce(1), path, batch_id)
+    return entries

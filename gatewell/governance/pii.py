@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from gatewell.functions import quoted
-from gatewell.functions.detectors import DETECTORS, found, masked
+from gatewell.functions.detectors import DETECTORS, found, masked_sql
 
 
 def match_rates(df: DataFrame, table: str, cut_off: float = 0.01) -> DataFrame:
@@ -39,24 +39,46 @@ def tag_tables(frames: Mapping[str, DataFrame], cut_off: float = 0.01) -> DataFr
                   [match_rates(df, name, cut_off) for name, df in frames.items()])
 
 
+def _mask_sql(name: str, rule: str) -> str:
+    column = quoted(name)
+    if rule == "redact":
+        return masked_sql(column)
+    if rule == "hash":
+        return f"sha2(CAST({column} AS STRING), 256)"
+    if rule == "shape":
+        return f"mask({column})"
+    raise ValueError(f"unknown masking rule: {rule}")
+
+
 def mask_columns(df: DataFrame, rules: Mapping[str, str]) -> DataFrame:
     """Mask columns: ``redact`` replaces matches in text, ``hash`` hides a key but keeps joins
     possible, ``shape`` keeps only the shape of a short string."""
-    def apply(name: str, rule: str):
-        value = F.col(quoted(name))
-        if rule == "redact":
-            return masked(value)
-        if rule == "hash":
-            return F.sha2(value.cast("string"), 256)
-        if rule == "shape":
-            return F.mask(value)
-        raise ValueError(f"unknown masking rule: {rule}")
-    return df.withColumns({name: apply(name, rule) for name, rule in rules.items()})
+    return df.withColumns({name: F.expr(_mask_sql(name, rule)) for name, rule in rules.items()})
 
 
 def create_masked_view(spark: SparkSession, view: str, table: str,
                        rules: Mapping[str, str]) -> None:
-    mask_columns(spark.table(table), rules).createOrReplaceTempView(view)
+    """A catalog view of a table with the columns masked; readers need no access to the table."""
+    columns = ", ".join(
+        f"{_mask_sql(c, rules[c])} AS {quoted(c)}" if c in rules else quoted(c)
+        for c in spark.table(table).columns)
+    spark.sql(f"CREATE OR REPLACE VIEW {_quoted(view)} AS SELECT {columns} FROM {_quoted(table)}")
+
+
+def comment_tags(spark: SparkSession, tags: DataFrame, table: str) -> None:
+    """Record the detectors that tagged a column in the comments of the table's columns."""
+    rows = (tags.where(F.col("tagged") & (F.col("table_name") == table))
+            .select("column_name", "detector").collect())  # one row per column and detector
+    found: dict[str, list[str]] = {}
+    for row in rows:
+        found.setdefault(row["column_name"], []).append(row["detector"])
+    for column, detectors in found.items():
+        spark.sql(f"ALTER TABLE {_quoted(table)} ALTER COLUMN {quoted(column)} "
+                  f"COMMENT 'pii: {', '.join(sorted(detectors))}'")
+
+
+def _quoted(name: str) -> str:
+    return ".".join(quoted(p) for p in name.split("."))
 
 
 def rules_from_tags(tags: DataFrame, table: str) -> dict[str, str]:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import datetime
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from gatewell.functions import literal
-from gatewell.governance.audit import append_audit
+from gatewell.governance.approvals import APPROVED, REJECTED, ApprovalLog
+from gatewell.governance.audit import log_actions
 from gatewell.governance.lineage import column_edges
 from gatewell.operators.steps import apply_steps
 from gatewell.plans.spec import Check, Spec
@@ -28,28 +28,34 @@ STANDARD_CHECKS = (
 
 @dataclass(frozen=True)
 class BuildLog:
-    """Where builds record what they did. Tables are created on first use."""
+    """Where builds record what they did. Tables and folders are created on first use."""
 
     versions: str
     quality_results: str
     lineage_edges: str
     audit_path: str
+    approvals_path: str
 
 
 @dataclass(frozen=True)
 class BuildResult:
-    version: int
+    """``version`` is None while the staged table waits for approval."""
+
+    physical: str
     rows: int
     warnings: list[str]
+    version: int | None = None
+    approval_id: str | None = None
 
 
 def run_build(spark: SparkSession, spec: Spec, run_id: str, ts: datetime.datetime, log: BuildLog,
-              actor: str = "build") -> BuildResult:
+              actor: str = "build", require_approval: bool = False) -> BuildResult:
     """Build the target table of a spec.
 
     The result is computed once, into a table nobody sees yet. Aggregate-shaped checks are measured
     while it is written; the others read the written table. If the gate closes, the staged table is
-    dropped and the target keeps its previous version.
+    dropped and the target keeps its previous version. With ``require_approval`` the staged table
+    waits for ``release``.
     """
     require_tables(spark, spec.source_tables)
     inputs = load_tables(spark, spec.source_tables)
@@ -60,19 +66,46 @@ def run_build(spark: SparkSession, spec: Spec, run_id: str, ts: datetime.datetim
     report(results, run_id, spec.target_table, ts).write.mode("append").format(
         "parquet").saveAsTable(log.quality_results)
     verdict = roll_up(results).first()
-    _audit(spark, log, run_id, ts, actor, "quality_validation",
-           {"table": spec.target_table, "checks": verdict["checks"], "failed": verdict["failed"]}, 0)
+    log_actions(spark, log.audit_path, f"{run_id}-checked", ts, actor, [
+        ("stage", {"pipeline_id": run_id, "stage": "planning", "sources": spec.source_tables}),
+        ("stage", {"pipeline_id": run_id, "stage": "quality_checks"}),
+        ("quality_validation", {"table": spec.target_table, "checks": verdict["checks"],
+                                "failed": verdict["failed"], "passed": verdict["passed"]})])
     try:
         warnings = gate(results)
     except QualityGateError:
         spark.sql(f"DROP TABLE {physical}")
         raise
-    version = target.show(physical, ts)
     column_edges(inputs, spec.transformations, spec.target_table, run_id, ts).write.mode(
         "append").format("parquet").saveAsTable(log.lineage_edges)
-    _audit(spark, log, run_id, ts, actor, "published",
-           {"table": spec.target_table, "version": version, "rows": rows}, 1)
-    return BuildResult(version, rows, warnings)
+    if require_approval:
+        approval = ApprovalLog(spark, log.approvals_path).request(
+            run_id, "approval", f"show {physical} as {spec.target_table}", ts, actor)
+        log_actions(spark, log.audit_path, f"{run_id}-staged", ts, actor, [
+            ("stage", {"pipeline_id": run_id, "stage": "approval", "approval_id": approval})])
+        return BuildResult(physical, rows, warnings, approval_id=approval)
+    return _show(target, BuildResult(physical, rows, warnings), run_id, ts, log, actor)
+
+
+def release(spark: SparkSession, spec: Spec, staged: BuildResult, run_id: str,
+            ts: datetime.datetime, log: BuildLog, actor: str = "build") -> BuildResult:
+    """Show a staged table if its approval was given; drop it if it was rejected."""
+    state = ApprovalLog(spark, log.approvals_path).status(staged.approval_id)
+    if state == REJECTED:
+        spark.sql(f"DROP TABLE IF EXISTS {staged.physical}")
+    if state != APPROVED:
+        raise PermissionError(f"{staged.approval_id} is {state}")
+    target = VersionedTable(spark, spec.target_table, log.versions)
+    return _show(target, staged, run_id, ts, log, actor)
+
+
+def _show(target: VersionedTable, staged: BuildResult, run_id: str, ts: datetime.datetime,
+          log: BuildLog, actor: str) -> BuildResult:
+    version = target.show(staged.physical, ts)
+    log_actions(target.spark, log.audit_path, f"{run_id}-shown", ts, actor, [
+        ("published", {"table": target.name, "version": version, "rows": staged.rows}),
+        ("stage", {"pipeline_id": run_id, "stage": "completed"})])
+    return replace(staged, version=version)
 
 
 def stage_checked(target: VersionedTable, result: DataFrame, spec: Spec, ts: datetime.datetime,
@@ -97,15 +130,7 @@ def stage_checked(target: VersionedTable, result: DataFrame, spec: Spec, ts: dat
     return physical, seen["rows"], spark.createDataFrame(rows, results.schema)
 
 
-def _audit(spark: SparkSession, log: BuildLog, run_id: str, ts: datetime.datetime, actor: str,
-           action: str, details: dict, number: int) -> None:
-    entry = spark.range(1).select(
-        F.lit(number).cast("bigint").alias("event_id"), literal(ts).alias("ts"),
-        F.lit(actor).alias("actor"), F.lit(action).alias("action"),
-        F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in details.items()])).alias("details"))
-    append_audit(entry, log.audit_path, f"{run_id}-{action}")
-
-
 def default_log(spark: SparkSession, database: str) -> BuildLog:
     return BuildLog(f"{database}.table_versions", f"{database}.quality_results",
-                    f"{database}.lineage_edges", scratch_path(spark, "audit"))
+                    f"{database}.lineage_edges", scratch_path(spark, "audit"),
+                    scratch_path(spark, "approvals"))

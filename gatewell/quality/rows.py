@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gatewell.functions import quoted
-from gatewell.operators.ranking import top_per_group
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -44,13 +44,15 @@ def failing_rows(df: DataFrame, rules: Mapping[str, Column], order_by: list[str]
                  per_check: int) -> DataFrame:
     """The first rows behind every failed rule, for triage.
 
-    A row is repeated only for the rules it breaks; at most ``per_check`` rows per rule leave each
-    map task.
+    Each rule is a filter with an ordered limit: tasks keep ``per_check`` rows on a heap, whatever
+    the number of rows that fail, and nothing else is sorted or shuffled.
     """
-    broken = [F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()]
-    tagged = df.withColumn("check_name", F.explode(F.array_compact(F.array(*broken))))
-    return top_per_group(tagged, ["check_name"], [F.col(c).asc() for c in order_by], per_check,
-                         "sample_no")
+    order = [F.col(c).asc() for c in order_by]
+    samples = [df.where(~F.coalesce(rule, F.lit(False))).orderBy(*order).limit(per_check)
+               .withColumn("check_name", F.lit(name)) for name, rule in rules.items()]
+    window = Window.partitionBy("check_name").orderBy(*order)
+    return reduce(DataFrame.unionByName, samples).withColumn(
+        "sample_no", F.row_number().over(window).cast("bigint"))
 
 
 def row_count_anomalies(df: DataFrame, time: str, days: int = 7, factor: float = 3.0) -> DataFrame:

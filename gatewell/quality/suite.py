@@ -8,7 +8,7 @@ from functools import reduce
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gatewell.functions import literal
 from gatewell.plans.spec import Check
@@ -153,10 +153,19 @@ def gate(results: DataFrame) -> list[str]:
     blocking = [f"{r['name']}: {r['error']}" if r["error"] else r["name"]
                 for r in failed if r["severity"] == ERROR]
     if blocking:
-        raise QualityGateError(f"Data quality checks failed: {blocking}")
+        raise QualityGateError(f"the quality gate is closed: {blocking}")
     return [r["name"] for r in failed]
 
 
+def validate_output(spark: SparkSession, table: str,
+                    checks: Sequence[Check | Mapping[str, Any]],
+                    as_of: datetime.datetime | None = None,
+                    parents: Mapping[str, DataFrame] | None = None) -> tuple[bool, DataFrame]:
+    """(all checks passed, check rows) for a table by name."""
+    results = run_suite(spark.table(table), checks, as_of, parents)
+    return roll_up(results).first()["all_passed"], results
+
+
 def report(results: DataFrame, run_id: str, table: str, ts: datetime.datetime) -> DataFrame:
     """Check rows in the shape of the ``quality_results`` table."""
     return results.select(

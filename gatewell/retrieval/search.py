@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gatewell.operators.ranking import top_per_group
 from gatewell.session import materialize
@@ -18,31 +18,31 @@ def terms_of(query: str) -> list[str]:
     return sorted({t for t in re.split(r"[\W\d_]+", query.lower()) if t})
 
 
+def _occurrences(words: str, word: str) -> Column:
+    return F.size(F.filter(words, lambda t: t == word)).cast("bigint")
+
+
 def keyword_search(docs: DataFrame, key: str, text: str, queries: Sequence[str],
                    top: int = 10) -> DataFrame:
     """The best documents per query by the sum of tf * ln(N / df) over its words.
 
-    Queries are a short list given by the caller. Only occurrences of their words leave the scan;
-    they are counted per document before the shuffle, so a word that occurs everywhere costs one
-    row per document.
+    Queries are a short list given by the caller. Words are counted inside the row of their
+    document, so no text and no list of occurrences is shuffled; only the best rows per query and
+    task are.
     """
     wanted = {q: terms_of(q) for q in queries}
     words = sorted({t for terms in wanted.values() for t in terms})
     if not words:
         raise ValueError("no words in the queries")
-    tokens = F.filter(F.split(F.lower(F.col(text)), NOT_LETTERS), lambda t: t.isin(*words))
-    # Stored, so that the texts are read once; it holds the occurrences of the query words only.
-    counts = materialize(docs.select(F.col(key), F.explode(tokens).alias("word"))
-                         .groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf")), "search")
-    # One row: document frequency of every query word, and the number of documents.
-    sizes = counts.agg(*[F.count_if(F.col("word") == w).alias(f"df{i}")
-                         for i, w in enumerate(words)])
-    frequency = sizes.first()
+    hits = F.filter(F.split(F.lower(F.col(text)), NOT_LETTERS), lambda t: t.isin(*words))
+    found = docs.select(F.col(key), hits.alias("_hits")).where(F.size("_hits") > 0)
+    # Stored, so that the texts are read once: how often each query word occurs, per document.
+    counts = materialize(found.select(key, *[
+        _occurrences("_hits", w).alias(f"tf{i}") for i, w in enumerate(words)]), "search")
+    # One row: in how many documents each query word occurs.
+    frequency = counts.agg(*[F.count_if(F.col(f"tf{i}") > 0) for i in range(len(words))]).first()
     total = docs.count()
-    per_word = {w: (total, frequency[f"df{i}"]) for i, w in enumerate(words)}
-    per_doc = counts.groupBy(key).agg(*[
-        F.coalesce(F.sum(F.when(F.col("word") == w, F.col("tf"))), F.lit(0)).alias(f"tf{i}")
-        for i, w in enumerate(words)])
+    per_word = {w: (total, frequency[i]) for i, w in enumerate(words)}
 
     def score(terms: list[str]):
         parts = [F.col(f"tf{words.index(t)}").cast("double")
@@ -50,11 +50,11 @@ def keyword_search(docs: DataFrame, key: str, text: str, queries: Sequence[str],
                  for t in terms if per_word[t][1] > 0]
         return F.round(sum(parts[1:], parts[0]), 6) if parts else F.lit(0.0)
 
-    def hits(terms: list[str]):
+    def occurrences(terms: list[str]):
         found = [F.col(f"tf{words.index(t)}") for t in terms]
         return sum(found[1:], found[0])
 
-    rows = [F.struct(F.lit(q).alias("query"), hits(terms).alias("hits"), score(terms).alias("score"))
+    rows = [F.struct(F.lit(q).alias("query"), occurrences(terms).alias("hits"), score(terms).alias("score"))
             for q, terms in wanted.items()]
-    scored = per_doc.select(key, F.inline(F.array(*rows))).where("hits > 0")
+    scored = counts.select(key, F.inline(F.array(*rows))).where("hits > 0")
     return top_per_group(scored, ["query"], [F.col("score").desc(), F.col(key).asc()], top, "rank")

@@ -11,14 +11,16 @@ from gatewell.functions.detectors import DETECTORS, found
 from gatewell.governance.approvals import current_state, episodes
 from gatewell.governance.audit import append_audit, read_audit
 from gatewell.governance.lineage import upstream
-from gatewell.governance.pii import mask_columns, rules_from_tags, tag_tables
+from gatewell.governance.pii import (
+    comment_tags, create_masked_view, mask_columns, rules_from_tags, tag_tables,
+)
 from gatewell.governance.stages import latest_stage, stage_reach, time_in_stage
 from gatewell.observe.runtime import runtime_stats
 from gatewell.retrieval import vectors
 from gatewell.retrieval.chunks import chunk_documents
 from gatewell.retrieval.search import keyword_search
 from gatewell.retrieval.vectors import vector_topk
-from gatewell.session import load, scratch_path
+from gatewell.session import fresh_table, load, scratch_path
 from gatewell.streaming.load import file_stream, load_available, unique_within
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -82,9 +84,17 @@ def test_masking_leaves_nothing_to_find(spark, folder):
     assert masked.where(F.col("text").contains("<phone>")).count() >= 1
 
 
-def test_tags_give_rules(spark):
+def test_tags_give_rules_comments_and_views(spark):
     df = spark.createDataFrame([("a@b.cd", "x"), ("none", "y")], "mail string, other string")
-    assert rules_from_tags(tag_tables({"t": df}, 0.5), "t") == {"mail": "redact"}
+    table = fresh_table(spark, "people")
+    df.write.saveAsTable(table)
+    tags = tag_tables({table: df}, 0.5)
+    assert rules_from_tags(tags, table) == {"mail": "redact"}
+    comment_tags(spark, tags, table)
+    assert [f.metadata.get("comment") for f in spark.table(table).schema] == ["pii: email", None]
+    create_masked_view(spark, f"{table}_masked", table, {"mail": "redact", "other": "shape"})
+    assert sorted(map(tuple, spark.table(f"{table}_masked").collect())) == [
+        ("<email>", "x"), ("none", "x")]
     with pytest.raises(ValueError):
         mask_columns(df, {"mail": "blur"})
 
@@ -126,14 +136,20 @@ def test_quantile_sketch_form(spark):
     assert sketch["p50"] == pytest.approx(exact["p50"], abs=2)
 
 
-@pytest.mark.parametrize("length", [0, 1, 9, 10, 11, 17, 18, 100])
-def test_chunks_cover_the_text(spark, length):
-    text = "".join(chr(97 + i % 26) for i in range(length))
-    got = chunk_documents(spark.createDataFrame([(1, text)], "id long, text string"), "id", "text",
-                          size=10, overlap=3).orderBy("chunk_no").collect()
-    rebuilt = "".join(r["text"] if r["chunk_no"] == 0 else r["text"][3:] for r in got)
-    assert rebuilt == text
-    assert all(len(r["text"]) == 10 for r in got[:-1])
+@pytest.mark.parametrize("overlap", [0, 3, 5, 8])
+def test_chunks_cover_the_text(spark, overlap):
+    alphabet = "aé\n😀b\r\u2028c"
+    texts = ["".join(alphabet[(i * 7) % len(alphabet)] for i in range(n))
+             for n in (0, 1, 9, 10, 11, 17, 18, 100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {}
+    for row in chunk_documents(df, "id", "text", size=10, overlap=overlap).orderBy(
+            "id", "chunk_no").collect():
+        got.setdefault(row["id"], []).append(row["text"])
+    for number, text in enumerate(texts):
+        stride = 10 - overlap
+        want = [text[at:at + 10] for at in range(0, max(len(text) - overlap, 1), stride)]
+        assert got.get(number, []) == (want if text else [])
 
 
 def test_keyword_search_scores(spark):

@@ -1,14 +1,16 @@
 """Sinks, versions, contracts, sources and the build runner."""
 
 import datetime
+import json
 import os
 
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from gatewell.plans.build import default_log, run_build
+from gatewell.governance.approvals import ApprovalLog
+from gatewell.plans.build import default_log, release, run_build
 from gatewell.plans.spec import Spec
-from gatewell.quality.suite import QualityGateError
+from gatewell.quality.suite import QualityGateError, validate_output
 from gatewell.session import fresh_table, load, scratch_path, workspace
 from gatewell.sinks.changes import row_diff, table_diff, upsert
 from gatewell.sinks.tables import (
@@ -239,7 +241,33 @@ def test_build_publishes_and_records(spark, sources):
                    ("orders", "o_totalprice", "total"), ("orders", "o_totalprice", "segment"),
                    ("customer", "c_mktsegment", "segment")}
     audit = spark.read.parquet(log.audit_path).collect()
-    assert {r["action"] for r in audit} == {"quality_validation", "published"}
+    assert {r["action"] for r in audit} == {"quality_validation", "published", "stage"}
+    assert json.loads(next(r["details"] for r in audit if r["action"] == "published")) == {
+        "table": target, "version": 1, "rows": 5}
+
+
+def test_build_waits_for_approval(spark, sources):
+    target, log = fresh_table(spark, "mart"), default_log(spark, workspace(spark))
+    spec, approvals = _spec(*sources, target), ApprovalLog(spark, log.approvals_path)
+    staged = run_build(spark, spec, "run-1", T0, log, require_approval=True)
+    assert staged.version is None and not spark.catalog.tableExists(target)
+    with pytest.raises(PermissionError, match="pending"):
+        release(spark, spec, staged, "run-1", T0, log)
+    assert approvals.approve(staged.approval_id, "someone", T0, "fine")
+    assert not approvals.reject(staged.approval_id, "someone", T0)
+    assert release(spark, spec, staged, "run-1", T0, log).version == 1
+    assert spark.table(target).count() == 5
+    again = run_build(spark, spec, "run-2", T0, log, require_approval=True)
+    assert approvals.reject(again.approval_id, "someone", T0, "no")
+    with pytest.raises(PermissionError, match="rejected"):
+        release(spark, spec, again, "run-2", T0, log)
+    assert not spark.catalog.tableExists(again.physical) and spark.table(target).count() == 5
+    assert approvals.status("unknown") is None and not approvals.approve("unknown", "x", T0)
+
+
+def test_validate_output_by_name(spark, sources):
+    passed, found = validate_output(spark, sources[0], [{"name": "n", "type": "not_empty"}])
+    assert passed and found.count() == 1
 
 
 def test_failed_build_leaves_target_alone(spark, sources):
