@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -12,30 +13,27 @@ SMALL_FILE = 32 * 1024 * 1024
 LARGE_FILE = 2 * 1024 * 1024 * 1024
 
 
-def file_sizes(df: DataFrame) -> DataFrame:
-    """Size and rows of every file behind a frame; no data column is read."""
-    return (df.select(F.col("_metadata.file_path").alias("path"),
-                      F.col("_metadata.file_size").alias("bytes"))
-            .groupBy("path", "bytes").agg(F.count(F.lit(1)).alias("rows")))
+def file_sizes(frames: Mapping[str, DataFrame]) -> DataFrame:
+    """Size and rows of every file behind the frames; no data column is read."""
+    listed = [df.select(F.lit(name).alias("table_name"), F.col("_metadata.file_path").alias("path"),
+                        F.col("_metadata.file_size").alias("bytes"))
+              for name, df in frames.items()]
+    return (reduce(DataFrame.unionByName, listed).groupBy("table_name", "path", "bytes")
+            .agg(F.count(F.lit(1)).alias("rows")))
 
 
-def file_size_advice(frames: dict[str, DataFrame], small: int = SMALL_FILE,
+def file_size_advice(frames: Mapping[str, DataFrame], small: int = SMALL_FILE,
                      large: int = LARGE_FILE) -> DataFrame:
     """Per table: number of files, how many are too small or too large, and bytes per row."""
-    def one(name: str, df: DataFrame) -> DataFrame:
-        stats = file_sizes(df).agg(
-            F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
-            F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
-            F.count_if(F.col("bytes") < small).alias("small_files"),
-            F.count_if(F.col("bytes") > large).alias("large_files"))
-        advice = (F.when((F.col("files") > 1) & (F.col("small_files") * 2 > F.col("files")),
-                         "compact")
-                  .when(F.col("large_files") > 0, "split").otherwise("keep"))
-        return stats.select(F.lit(name).alias("table_name"), "files", "bytes", "rows",
-                            "small_files", "large_files",
-                            share(F.col("bytes"), F.col("rows")).alias("bytes_per_row"),
-                            advice.alias("advice"))
-    return reduce(DataFrame.unionByName, [one(n, df) for n, df in frames.items()])
+    stats = file_sizes(frames).groupBy("table_name").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"),
+        F.sum("rows").alias("rows"), F.count_if(F.col("bytes") < small).alias("small_files"),
+        F.count_if(F.col("bytes") > large).alias("large_files"))
+    advice = (F.when((F.col("files") > 1) & (F.col("small_files") * 2 > F.col("files")), "compact")
+              .when(F.col("large_files") > 0, "split").otherwise("keep"))
+    return stats.select("table_name", "files", "bytes", "rows", "small_files", "large_files",
+                        share(F.col("bytes"), F.col("rows")).alias("bytes_per_row"),
+                        advice.alias("advice"))
 
 
 def partition_advice(df: DataFrame, columns: list[str]) -> DataFrame:

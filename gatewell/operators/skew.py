@@ -32,7 +32,7 @@ def hot_keys(df: DataFrame, key: str, min_share: float = MIN_SHARE) -> list[Any]
         F.expr(f"approx_top_k({quoted(key)}, {limit}, {limit * 20})").alias("top"),
         F.count(F.lit(1)).alias("total"),
     ).first()
-    return [item["item"] for item in found["top"] if item["count"] >= found["total"] * min_share]
+    return [item["item"] for item in found["top"] or [] if item["count"] >= found["total"] * min_share]
 
 
 # Keys the group-size sketch follows. It may be off by up to about 4 / TRACKED of all rows.

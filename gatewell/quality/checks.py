@@ -165,6 +165,13 @@ def repeated_keys(df: DataFrame, columns) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("occurrences")).where(F.col("occurrences") > 1))
 
 
+# JSON text that keeps apart what differs: nulls are written, times keep their microseconds.
+EXACT_JSON = {
+    "ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def comparable(df: DataFrame) -> DataFrame:
     """Maps and variants cannot be grouped; they take part as canonical JSON text."""
     def has_map(kind: T.DataType) -> bool:
@@ -179,8 +186,9 @@ def comparable(df: DataFrame) -> DataFrame:
         if not has_map(field.dataType):
             return value
         if isinstance(field.dataType, T.MapType):  # entry order carries no meaning
-            return F.when(value.isNotNull(), F.to_json(F.array_sort(F.map_entries(value))))
-        return F.to_json(value)
+            return F.when(value.isNotNull(), F.to_json(
+                F.array_sort(F.map_entries(value)), EXACT_JSON))
+        return F.to_json(value, EXACT_JSON)
 
     return df.select(*[as_key(f).alias(f.name) for f in df.schema.fields])
 
@@ -192,8 +200,10 @@ def duplicate_count(df: DataFrame, wide: bool = False) -> DataFrame:
     """
     rows = comparable(df)
     if wide:
-        whole = F.to_json(F.struct(*[F.col(quoted(c)) for c in rows.columns]),
-                          {"ignoreNullFields": "false"})
+        # Adding zero makes -0.0 equal to 0.0, as it is in a grouping.
+        cells = [(F.col(quoted(f.name)) + 0.0 if isinstance(f.dataType, (T.DoubleType, T.FloatType))
+                  else F.col(quoted(f.name))).alias(f.name) for f in rows.schema]
+        whole = F.to_json(F.struct(*cells), EXACT_JSON)
         rows = rows.select(F.unhex(F.sha2(whole, 256)).alias("digest"))
     grouped = (rows.groupBy(*[F.col(quoted(c)) for c in rows.columns])
                .agg(F.count(F.lit(1)).alias("_copies")))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gatewell.functions import quoted
 from gatewell.operators.ranking import top_per_group
+from gatewell.sinks.tables import overwrite_partitions
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
@@ -22,6 +24,27 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
     return target.join(source, list(keys), "left_anti").select(*target.columns).unionByName(source)
 
 
+def upsert_partitions(source: DataFrame, table: str, keys: Sequence[str], partition_by: str,
+                      order_by: Sequence[Column] | None = None) -> None:
+    """Upsert into a partitioned table by rewriting only the partitions the source touches.
+
+    The partition of a key must not change. The list of touched partitions is the only thing that
+    reaches the driver.
+    """
+    target = source.sparkSession.table(table)
+    touched = [row[0] for row in source.select(partition_by).distinct().collect()]
+    affected = target.where(F.col(quoted(partition_by)).isin(touched))
+    overwrite_partitions(upsert(affected, source.select(*target.columns), keys, order_by), table,
+                         partition_by)
+
+
+def merge_into(source: DataFrame, table: str, keys: Sequence[str]) -> None:
+    """Upsert by row-level MERGE, for catalogs that support it (Parquet tables do not)."""
+    match = [F.col(f"{table}.{quoted(k)}") == F.col(f"source.{quoted(k)}") for k in keys]
+    (source.alias("source").mergeInto(table, reduce(lambda a, b: a & b, match))
+     .whenMatched().updateAll().whenNotMatched().insertAll().merge())
+
+
 def table_diff(before: DataFrame, after: DataFrame, keys: Sequence[str],
                compare: Sequence[str]) -> DataFrame:
     """Added, removed and changed keys with the values of both sides.

@@ -81,6 +81,18 @@ def create_partitioned(df: DataFrame, table: str, partition_by: str) -> None:
      .partitionBy(partition_by).saveAsTable(table))
 
 
+def overwrite_partitions(df: DataFrame, table: str, partition_by: str) -> None:
+    """Replace the partitions that occur in the frame and leave all others."""
+    spark = df.sparkSession
+    setting = "spark.sql.sources.partitionOverwriteMode"
+    previous = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, "dynamic")
+        df.hint("rebalance", partition_by).write.mode("overwrite").insertInto(table)
+    finally:
+        spark.conf.set(setting, previous)
+
+
 def backfill(df: DataFrame, table: str, day_column: str, start: datetime.date,
              end: datetime.date) -> None:
     """Rebuild the day partitions from ``start`` to ``end`` (inclusive); others stay as they are.
@@ -93,16 +105,10 @@ def backfill(df: DataFrame, table: str, day_column: str, start: datetime.date,
     name = ".".join(quoted(p) for p in table.split("."))
     before = {_day(row[0]) for row in spark.sql(f"SHOW PARTITIONS {name}").collect()}
     columns = spark.table(table).columns
-    setting = "spark.sql.sources.partitionOverwriteMode"
-    previous = spark.conf.get(setting)
     seen = Observation()
     days = F.collect_set(F.col(day_column))  # at most one value per day of the range
     rebuilt = df.where(in_range).select(*columns).observe(seen, days.alias("days"))
-    try:
-        spark.conf.set(setting, "dynamic")
-        rebuilt.hint("rebalance", day_column).write.mode("overwrite").insertInto(table)
-    finally:
-        spark.conf.set(setting, previous)
+    overwrite_partitions(rebuilt, table, day_column)
     written = set(seen.get["days"])
     for day in sorted(before - written):
         if start <= day <= end:

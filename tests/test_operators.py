@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gatewell.operators.cleaning import quarantine_split
 from gatewell.operators.joins import lookup, orphan_keys
 from gatewell.operators import skew
 from gatewell.operators.ranking import (
@@ -119,6 +120,15 @@ def test_orphans_and_lookup(spark):
     assert sorted(map(str, (r["member"] for r in got.collect()))) == ["-1", "-1", "-1", "-1", "100"]
 
 
+def test_quarantine_split_loses_nothing(spark):
+    df = spark.createDataFrame([(1, "1.5"), (2, "x"), (-3, "y"), (None, "2")], "k long, v string")
+    good, bad = quarantine_split(df, {"positive": F.col("k") > 0,
+                                      "number": F.col("v").try_cast("double").isNotNull()})
+    assert [r["k"] for r in good.collect()] == [1] and good.columns == ["k", "v"]
+    assert sorted((str(r["k"]), r["violations"]) for r in bad.collect()) == [
+        ("-3", ["positive", "number"]), ("2", ["number"]), ("None", ["positive"])]
+
+
 def test_steps_reject_unknown_op(spark):
     with pytest.raises(ValueError, match="pivot"):
         apply_steps({"t": spark.range(1)}, [{"op": "pivot"}])
@@ -160,3 +170,15 @@ def test_observed_counts_equal_counted(spark):
 def test_referenced_columns(spark):
     df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int")
     assert referenced_columns(df, "a + coalesce(c, 1)") == ["a", "c"]
+
+
+def test_empty_frames(spark):
+    empty = spark.createDataFrame([], "k long, t long, id long, v long")
+    dim = spark.createDataFrame([], "key long, name string")
+    assert hot_keys(empty, "k") == []
+    for how in ("inner", "left"):
+        assert skew_join(empty, dim, "k", "key", how).count() == 0
+    for max_group in (10, -1):
+        assert next_time(empty, ["k"], "t", "id", "n", max_group).count() == 0
+        assert running_sum(empty, ["k"], "t", "id", F.col("v"), "s", max_group).count() == 0
+    assert group_quantiles(empty, ["k"], "v", {"p": 0.5}).count() == 0

@@ -175,3 +175,13 @@ def test_anomaly_needs_history(spark):
     got = row_count_anomalies(spark.createDataFrame(rows, "ts timestamp_ntz"), "ts")
     flagged = [r["day"].day for r in got.collect() if r["is_anomaly"]]
     assert flagged == [8]
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_duplicates_compare_exact_values(spark, wide):
+    near = AS_OF + datetime.timedelta(microseconds=1)
+    df = spark.createDataFrame([(AS_OF, 0.0), (near, 0.0), (AS_OF, -0.0), (AS_OF, float("nan")),
+                                (AS_OF, float("nan"))], "t timestamp_ntz, x double")
+    assert duplicate_count(df, wide).first()["duplicate_rows"] == 2
+    nested = df.select(F.struct("t").alias("s"), F.create_map(F.lit("k"), F.col("t")).alias("m"))
+    assert duplicate_count(nested, wide).first()["duplicate_rows"] == 3

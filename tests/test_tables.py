@@ -5,6 +5,7 @@ import json
 import os
 
 import pytest
+from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import functions as F, types as T
 
 from gatewell.governance.approvals import ApprovalLog
@@ -12,7 +13,9 @@ from gatewell.plans.build import default_log, release, run_build
 from gatewell.plans.spec import Spec
 from gatewell.quality.suite import QualityGateError, validate_output
 from gatewell.session import fresh_table, load, scratch_path, workspace
-from gatewell.sinks.changes import row_diff, table_diff, upsert
+from gatewell.sinks.changes import (
+    merge_into, row_diff, table_diff, upsert, upsert_partitions,
+)
 from gatewell.sinks.tables import (
     append_under_contract, backfill, create_partitioned, create_table, full_refresh,
 )
@@ -123,6 +126,26 @@ def test_upsert_and_diff(spark):
         ("B", 1), ("b", -1), ("d", 1)]
 
 
+def test_upsert_rewrites_only_touched_partitions(spark):
+    table = fresh_table(spark, "parted")
+    df = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (3, "c", 2)], "k long, v string, p int")
+    create_partitioned(df, table, "p")
+    untouched = {f for f in spark.table(table).where("p = 2").inputFiles()}
+    change = spark.createDataFrame([(2, "B", 1), (4, "d", 1), (5, "e", 3)],
+                                   "k long, v string, p int")
+    upsert_partitions(change, table, ["k"], "p")
+    assert rows(spark.table(table)) == [(1, "a", 1), (2, "B", 1), (3, "c", 2), (4, "d", 1),
+                                        (5, "e", 3)]
+    assert {f for f in spark.table(table).where("p = 2").inputFiles()} == untouched
+
+
+def test_merge_needs_a_row_level_catalog(spark):
+    table = fresh_table(spark, "plain")
+    spark.range(1).write.saveAsTable(table)
+    with pytest.raises(UnsupportedOperationException):
+        merge_into(spark.range(2), table, ["id"])
+
+
 def test_versions_roll_back_further(spark):
     name = fresh_table(spark, "versioned")
     table = VersionedTable(spark, name, fresh_table(spark, "log"))
