@@ -5,40 +5,36 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from gatewell.operators.ranking import top_per_group
 from gatewell.session import materialize
 
-# Words are runs of letters in any script.
-NOT_LETTERS = r"[^\p{L}]+"
-
 
 def terms_of(query: str) -> list[str]:
+    """Words are runs of letters in any script."""
     return sorted({t for t in re.split(r"[\W\d_]+", query.lower()) if t})
 
 
-def _occurrences(words: str, word: str) -> Column:
-    return F.size(F.filter(words, lambda t: t == word)).cast("bigint")
-
-
 def keyword_search(docs: DataFrame, key: str, text: str, queries: Sequence[str],
                    top: int = 10) -> DataFrame:
     """The best documents per query by the sum of tf * ln(N / df) over its words.
 
-    Queries are a short list given by the caller. Words are counted inside the row of their
-    document, so no text and no list of occurrences is shuffled; only the best rows per query and
-    task are.
+    Queries are a short list given by the caller. One pattern finds all their words, and no text
+    is shuffled, only counts and the best rows per query and task.
     """
     wanted = {q: terms_of(q) for q in queries}
     words = sorted({t for terms in wanted.values() for t in terms})
     if not words:
         raise ValueError("no words in the queries")
-    hits = F.filter(F.split(F.lower(F.col(text)), NOT_LETTERS), lambda t: t.isin(*words))
-    found = docs.select(F.col(key), hits.alias("_hits")).where(F.size("_hits") > 0)
-    # Stored, so that the texts are read once: how often each query word occurs, per document.
-    counts = materialize(found.select(key, *[
-        _occurrences("_hits", w).alias(f"tf{i}") for i, w in enumerate(words)]), "search")
+    # A word counts where no letter stands before or after it.
+    pattern = r"(?<!\p{L})(?:" + "|".join(words) + r")(?!\p{L})"
+    hits = F.regexp_extract_all(F.lower(F.col(text)), F.lit(pattern), F.lit(0))
+    found = docs.select(F.col(key), F.explode(hits).alias("_word"))
+    # Stored, so that the texts are read once: how often each query word occurs, per document. The
+    # words of a document meet in its own task, so one row per document is shuffled.
+    counts = materialize(found.groupBy(key).agg(*[
+        F.count_if(F.col("_word") == w).alias(f"tf{i}") for i, w in enumerate(words)]), "search")
     # One row: in how many documents each query word occurs.
     frequency = counts.agg(*[F.count_if(F.col(f"tf{i}") > 0) for i in range(len(words))]).first()
     total = docs.count()

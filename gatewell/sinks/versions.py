@@ -18,10 +18,10 @@ LOG_SCHEMA = "name string, version bigint, physical_name string, action string,
 class VersionedTable:
     def __init__(self, spark: SparkSession, name: str, log: str):
         self.spark, self.name, self.log = spark, name, log
-        if not spark.catalog.tableExists(log):
-            (spark.createDataFrame([], LOG_SCHEMA).write.format("parquet").saveAsTable(log))
 
     def _history(self) -> DataFrame:
+        if not self.spark.catalog.tableExists(self.log):
+            return self.spark.createDataFrame([], LOG_SCHEMA)
         return self.spark.table(self.log).where(F.col("name") == self.name)
 
     def current(self) -> tuple[int, str] | None:
