@@ -62,9 +62,11 @@ def column_edges(inputs: Mapping[str, DataFrame], steps: Sequence[Mapping[str, A
                  run_id: str, ts: datetime.datetime, start: str | None = None) -> DataFrame:
     """Source column to target column edges of a declared chain.
 
-    Only schemas are looked at, no data. Each current column carries the set of source columns it
-    was computed from.
+    The steps run over empty frames, so only schemas are looked at. Each current column carries the
+    set of source columns it was computed from.
     """
+    spark = next(iter(inputs.values())).sparkSession
+    inputs = {name: spark.createDataFrame([], df.schema) for name, df in inputs.items()}
     start = start if start is not None else next(iter(inputs))
     df = inputs[start]
     origin = {c: {(start, c)} for c in df.columns}
@@ -98,6 +100,6 @@ def column_edges(inputs: Mapping[str, DataFrame], steps: Sequence[Mapping[str, A
         origin = {c: origin[c] for c in df.columns}
     rows = [(src, target, src_col, dst_col, run_id) for dst_col, sources in origin.items()
             for src, src_col in sorted(sources)]
-    frame = df.sparkSession.createDataFrame(
+    frame = spark.createDataFrame(
         rows, "src string, dst string, src_col string, dst_col string, run_id string")
     return frame.withColumn("ts", literal(ts))

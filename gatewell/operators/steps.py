@@ -70,8 +70,13 @@ def dedupe_latest(df: DataFrame, step: Step, inputs: Mapping[str, DataFrame]) ->
 
 
 def join(df: DataFrame, step: Step, inputs: Mapping[str, DataFrame]) -> DataFrame:
-    return skew_join(df, inputs[step["table"]], step["left_key"], step["right_key"],
-                     step.get("how", "inner"))
+    """Heavy keys are looked for in the rows so far, which reads them once more; a step that is
+    costly to repeat and known to be even can say ``"skew_safe": False``."""
+    other, how = inputs[step["table"]], step.get("how", "inner")
+    left, right = step["left_key"], step["right_key"]
+    if step.get("skew_safe", True):
+        return skew_join(df, other, left, right, how)
+    return df.join(other, df[quoted(left)] == other[quoted(right)], how)
 
 
 def aggregate(df: DataFrame, step: Step, inputs: Mapping[str, DataFrame]) -> DataFrame:

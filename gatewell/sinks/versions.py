@@ -16,6 +16,8 @@ LOG_SCHEMA = "name string, version bigint, physical_name string, action string,
 
 
 class VersionedTable:
+    """One public name and its physical tables. One writer at a time is assumed."""
+
     def __init__(self, spark: SparkSession, name: str, log: str):
         self.spark, self.name, self.log = spark, name, log
 

@@ -182,3 +182,25 @@ def test_empty_frames(spark):
         assert next_time(empty, ["k"], "t", "id", "n", max_group).count() == 0
         assert running_sum(empty, ["k"], "t", "id", F.col("v"), "s", max_group).count() == 0
     assert group_quantiles(empty, ["k"], "v", {"p": 0.5}).count() == 0
+
+
+@pytest.mark.parametrize("max_group", [10_000, -1])
+def test_running_values_with_null_keys_and_two_keys(spark, max_group):
+    data = [(None if i % 4 == 0 else i % 3, "a" if i % 5 else None, i, i % 7) for i in range(120)]
+    df = spark.createDataFrame(data, "k long, g string, t long, v long").repartition(3)
+    summed = {r["t"]: r["s"] for r in
+              running_sum(df, ["k", "g"], "t", "t", F.col("v"), "s", max_group).collect()}
+    following = {r["t"]: r["n"] for r in
+                 next_time(df, ["k", "g"], "t", "t", "n", max_group).collect()}
+    for row in data:
+        group = [r for r in data if r[:2] == row[:2]]
+        assert summed[row[2]] == sum(r[3] for r in group if r[2] <= row[2])
+        assert following[row[2]] == min((r[2] for r in group if r[2] > row[2]), default=None)
+
+
+def test_join_step_without_skew_search(spark):
+    inputs = {"a": spark.createDataFrame([(1,), (2,)], "k long"),
+              "b": spark.createDataFrame([(1, "x")], "id long, v string")}
+    step = {"op": "join", "table": "b", "left_key": "k", "right_key": "id", "how": "left"}
+    plain = apply_steps(inputs, [{**step, "skew_safe": False}])
+    assert sorted(map(str, plain.collect())) == sorted(map(str, apply_steps(inputs, [step]).collect()))
