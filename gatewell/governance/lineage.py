@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import itertools
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -30,13 +31,13 @@ def edge_summary(edges: DataFrame) -> DataFrame:
         F.max("ts").alias("last_seen"))
 
 
-def upstream(edges: DataFrame, starts: DataFrame | None = None, max_depth: int = 20) -> DataFrame:
+def upstream(edges: DataFrame, starts: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """All ancestors of the start nodes (of every node by default) with the shortest distance.
 
     Level by level: the frontier is joined with the edges, pairs already known are dropped, and
     every level is stored, so a lost executor never replays earlier levels and plans stay short.
     Ancestors shared by very many nodes are heavy join keys and take the skew-safe route. Cycles
-    end because a pair is expanded only once.
+    end because a pair is expanded only once, so ``max_depth`` is only for callers who want less.
     """
     edges = materialize(edges.select("src", "dst").where("src is not null and dst is not null")
                         .distinct(), "edges")
@@ -46,7 +47,9 @@ def upstream(edges: DataFrame, starts: DataFrame | None = None, max_depth: int =
     frontier = materialize(first.select(F.col("dst").alias("node"), F.col("src").alias("ancestor"),
                                         F.lit(1).cast("bigint").alias("distance")), "upstream")
     known = frontier
-    for distance in range(2, max_depth + 1):
+    for distance in itertools.count(2):
+        if max_depth is not None and distance > max_depth:
+            break
         reached = (skew_join(frontier.select("node", "ancestor"), step, "ancestor", "_child")
                    .select("node", F.col("_parent").alias("ancestor")).distinct()
                    .join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti")

@@ -113,7 +113,7 @@ def null_counts(check: Check, df: DataFrame, ctx: Context) -> Measured:
 
     def verdict(m):
         counts = [m(f"nulls{n}") for n in range(len(names))]
-        total = sum(counts[1:], counts[0])
+        total = F.aggregate(F.array(*counts), F.lit(0).cast("bigint"), lambda a, b: a + b)
         return Verdict(total == 0, total, _number(0), dict(zip(names, counts)))
     return Measured(measures, verdict)
 

@@ -97,8 +97,8 @@ def backfill(df: DataFrame, table: str, day_column: str, start: datetime.date,
              end: datetime.date) -> None:
     """Rebuild the day partitions from ``start`` to ``end`` (inclusive); others stay as they are.
 
-    Partitions in the range that have no rows any more are dropped. Running it twice leaves the
-    same table.
+    Partitions in the range that have no rows any more are dropped; the table must be a managed one
+    for their files to go too. Running it twice leaves the same table.
     """
     spark = df.sparkSession
     in_range = (F.col(day_column) >= F.lit(start)) & (F.col(day_column) <= F.lit(end))

@@ -71,6 +71,8 @@ def test_upstream_with_cycle_and_start(spark):
            upstream(edges, spark.createDataFrame([("b",)], "node string")).collect()}
     assert got == {("b", "a"): 1, ("b", "c"): 2, ("b", "b"): 3, ("b", "x"): 3}
     assert {r["node"] for r in upstream(edges).collect()} == {"a", "b", "c"}
+    near = upstream(edges, spark.createDataFrame([("b",)], "node string"), max_depth=2)
+    assert {r["ancestor"] for r in near.collect()} == {"a", "c"}
 
 
 def test_masking_leaves_nothing_to_find(spark, folder):
