@@ -1,3 +1,3 @@
 from gatewell.functions.columns import (  # noqa: F401
-    hours_between, literal, micros, money, quoted, share, text_number,
+    elapsed_micros, hours_between, literal, money, quoted, share, text_number,
 )

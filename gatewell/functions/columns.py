@@ -22,13 +22,18 @@ def money(column: Column | str) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("decimal(18,2)")
 
 
-def micros(column: Column | str) -> Column:
-    """Microseconds since the epoch of a timestamp with or without a zone (session zone UTC)."""
-    return F.unix_micros((F.col(column) if isinstance(column, str) else column).cast("timestamp"))
+def elapsed_micros(start: Column, end: Column) -> Column:
+    """Microseconds between two times of one kind.
+
+    The difference is taken as an interval, so times without a zone are not read in the zone of the
+    session, whose clock changes would shift them.
+    """
+    seconds = (end - start).cast("interval second").cast("decimal(18,6)")
+    return (seconds * 1_000_000).cast("bigint")
 
 
 def hours_between(start: Column, end: Column) -> Column:
-    return (micros(end) - micros(start)).cast("double") / F.lit(3_600_000_000.0)
+    return elapsed_micros(start, end).cast("double") / F.lit(3_600_000_000.0)
 
 
 def share(part: Column, whole: Column) -> Column:

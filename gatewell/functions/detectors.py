@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column
 
 # One pattern per kind of personal data. They use only syntax that all common regex
 # engines read alike (no word borders, which differ on accented letters). The part before an @ is

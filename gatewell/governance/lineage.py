@@ -31,7 +31,8 @@ def edge_summary(edges: DataFrame) -> DataFrame:
         F.max("ts").alias("last_seen"))
 
 
-def upstream(edges: DataFrame, starts: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
+def upstream(edges: DataFrame, starts: DataFrame | None = None,
+             max_depth: int | None = None) -> DataFrame:
     """All ancestors of the start nodes (of every node by default) with the shortest distance.
 
     Level by level: the frontier is joined with the edges, pairs already known are dropped, and
@@ -39,8 +40,8 @@ def upstream(edges: DataFrame, starts: DataFrame | None = None, max_depth: int |
     Ancestors shared by very many nodes are heavy join keys and take the skew-safe route. Cycles
     end because a pair is expanded only once, so ``max_depth`` is only for callers who want less.
     """
-    edges = materialize(edges.select("src", "dst").where("src is not null and dst is not null")
-                        .distinct(), "edges")
+    known_ends = F.col("src").isNotNull() & F.col("dst").isNotNull()
+    edges = materialize(edges.select("src", "dst").where(known_ends).distinct(), "edges")
     step = edges.select(F.col("dst").alias("_child"), F.col("src").alias("_parent"))
     first = edges if starts is None else edges.join(
         starts.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi")

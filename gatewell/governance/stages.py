@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gatewell.functions import micros, share
+from gatewell.functions import elapsed_micros, share
 from gatewell.operators.running import MAX_GROUP, next_time
 
 # The stages of a build, in order.
@@ -15,7 +15,7 @@ STAGES = ("planning", "querying", "notebook_generation", "quality_checks", "appr
 def time_in_stage(log: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     """Visits and time spent per build and stage; the last stage of a build has no end yet."""
     timed = next_time(log, ["pipeline_id"], "ts", "event_id", "_next", max_group)
-    spent = F.coalesce(micros("_next") - micros("ts"), F.lit(0))
+    spent = F.coalesce(elapsed_micros(F.col("ts"), F.col("_next")), F.lit(0))
     return timed.groupBy("pipeline_id", "stage").agg(
         F.count(F.lit(1)).alias("visits"), F.sum(spent).alias("micros_in_stage"))
 

@@ -23,7 +23,7 @@ def keyword_search(docs: DataFrame, key: str, text: str, queries: Sequence[str],
     Queries are a short list given by the caller. One pattern finds all their words, and no text
     is shuffled, only counts and the best rows per query and task.
     """
-    wanted = {q: terms_of(q) for q in queries}
+    wanted = {q: terms_of(q) for q in queries if terms_of(q)}
     words = sorted({t for terms in wanted.values() for t in terms})
     if not words:
         raise ValueError("no words in the queries")
@@ -50,7 +50,7 @@ def keyword_search(docs: DataFrame, key: str, text: str, queries: Sequence[str],
         found = [F.col(f"tf{words.index(t)}") for t in terms]
         return sum(found[1:], found[0])
 
-    rows = [F.struct(F.lit(q).alias("query"), occurrences(terms).alias("hits"), score(terms).alias("score"))
-            for q, terms in wanted.items()]
+    rows = [F.struct(F.lit(q).alias("query"), occurrences(terms).alias("hits"),
+                     score(terms).alias("score")) for q, terms in wanted.items()]
     scored = counts.select(key, F.inline(F.array(*rows))).where("hits > 0")
     return top_per_group(scored, ["query"], [F.col("score").desc(), F.col(key).asc()], top, "rank")

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from gatewell.functions import micros, quoted
+from gatewell.functions import elapsed_micros, quoted
 
 # Fields of a profile row. Numbers and text keep separate columns, so no number becomes text.
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -16,8 +16,11 @@ NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.Do
 def _as_number(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, NUMERIC):
         return value.cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return micros(value).cast("double") / F.lit(1_000_000.0)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value).cast("double") / F.lit(1_000_000.0)
+    if isinstance(kind, T.TimestampNTZType):
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return elapsed_micros(epoch, value).cast("double") / F.lit(1_000_000.0)
     return F.lit(None).cast("double")
 
 

@@ -158,7 +158,7 @@ def test_keyword_search_scores(spark):
     docs = spark.createDataFrame([(1, "Cat cat dog"), (2, "dog-cat"), (3, "bird"), (4, None)],
                                  "id long, text string")
     got = [(r["query"], r["id"], r["hits"], r["score"]) for r in keyword_search(
-        docs, "id", "text", ["CAT", "dog bird", "cats"]).orderBy("query", "rank").collect()]
+        docs, "id", "text", ["CAT", "dog bird", "cats", "42"]).orderBy("query", "rank").collect()]
     half, quarter = round(math.log(2), 6), round(math.log(4), 6)
     assert got == [("CAT", 1, 2, round(2 * math.log(2), 6)), ("CAT", 2, 1, half),
                    ("dog bird", 3, 1, quarter), ("dog bird", 1, 1, half), ("dog bird", 2, 1, half)]
