@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gatewell.llm.contamination import contaminated
 from gatewell.llm.exact import exact_duplicates, normalised
+from gatewell.llm.near import near_duplicates
 from gatewell.llm.packing import best_fit_packing
 from gatewell.llm.quality import quality_scores
 from gatewell.llm.shipping import ship
@@ -69,3 +70,8 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return best_fit_packing(load(spark, folder, "documents").select("doc_id", "text"),
                             vocabulary("byte_bpe_50k.json"))
+
+
+@query
+def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(load(spark, folder, "documents").select("doc_id", "text"))
