@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gatewell.functions import quoted
 from gatewell.llm.components import components
+from gatewell.llm.sorting import whole_groups
 from gatewell.llm.textcode import (
     NON_SPACE, mixed, run_edges, run_hashes, signed, slices, texts_of, whole_starts, words_of,
 )
@@ -126,39 +126,13 @@ def _profiles(batches):
             names=["id", "n", "f1", "f2", "sketch"])
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables in which no group is cut, from batches sorted by the keys."""
-    kept: list[pa.RecordBatch] = []
-
-    def last(batch):
-        return tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in keys)
-
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        edge = last(batch)
-        same = np.ones(batch.num_rows, bool)
-        for k, value in zip(keys, edge):
-            same &= batch.column(k).to_numpy() == value
-        start = batch.num_rows - int(same.sum())
-        if start == 0 and kept and last(kept[-1]) == edge:
-            kept.append(batch)  # a group over several batches
-            continue
-        ready = pa.Table.from_batches([*kept, batch.slice(0, start)])
-        if ready.num_rows:
-            yield ready
-        kept = [batch.slice(start)]
-    if kept:
-        yield pa.Table.from_batches(kept)
-
-
 def _registers(column) -> np.ndarray:
     return texts_of(column).data.reshape(-1, REGISTERS)
 
 
 def _tile_pairs(batches):
     """Pairs within tiles of buckets: of different components, with a high enough estimate."""
-    for table in _whole_groups(batches, ["key", "i", "j"]):
+    for table in whole_groups(batches, ["key", "i", "j"]):
         cols = {c: table[c].to_numpy() for c in ("key", "i", "j", "block", "rep", "root", "n", "band")}
         sketch = _registers(table["sketch"])
         name = mixed(mixed(cols["key"].view(np.uint64)) + (cols["i"] * TILE * 64 + cols["j"])

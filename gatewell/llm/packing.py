@@ -8,18 +8,22 @@ and the pieces find their places by their rank among those of their length.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gatewell.functions import quoted
+from gatewell.llm.textcode import NON_SPACE, Texts, ranges_hashes, slices
 from gatewell.session import materialize
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 500_000
 RANK_ROWS = 50_000
 _PIECES = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                      ("length", pa.int64()), ("ids_crc32", pa.int64()), ("bucket", pa.int64())])
@@ -27,45 +31,132 @@ _PIECES_SQL = ("id bigint, piece int, start bigint, length bigint, ids_crc32 big
 
 
 class TokenCoder:
-    """Token ids of texts as bytes (little-endian, 32 bits each).
+    """Token ids of texts.
 
-    A byte-level tokenizer of this kind splits before every single space between two characters
-    that are no white space, so what lies between such spaces has the same ids in every text. Those
-    units are kept in a cache of bounded size, and the tokenizer only sees units that are new.
+    A byte-level tokenizer of this kind splits before every space that is followed by anything but
+    white space, so what lies between such places has the same ids in every text. Those units are
+    told apart by a hash, their ids are kept in a table of bounded size, and only units that are
+    new are encoded.
+
+    The vocabulary is read from the file of the ``tokenizers`` library, whose ids they are. Units are
+    encoded by ``tiktoken`` over that vocabulary, which gives the same ids in less time; very long
+    units go to ``tokenizers`` itself.
     """
 
+    LONG_UNIT = 400
+
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+        import tiktoken
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(path, encoding="utf-8") as file:
+            content = json.load(file)
+        special = {t["content"] for t in content["added_tokens"]}
+        place = {c: b for b, c in _byte_characters().items()}
+        ranks = {bytes(place[c] for c in token): number
+                 for token, number in content["model"]["vocab"].items() if token not in special}
+        self._line = ranks[b"\n"]
+        self._coder = tiktoken.Encoding(
+            "units", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self._entries = entries
-        self._units: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in
-                self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        units = text.split(" ")
-        cache = self._units
-        try:
-            rest = b"".join(map(cache.__getitem__, units[1:]))
-        except KeyError:
-            if len(cache) > self._entries:
-                cache.clear()
-            missing = [u for u in dict.fromkeys(units[1:]) if u not in cache]
-            # A unit that is empty or has white space at an end does not stand by itself.
-            if any(not u or u[0].isspace() or u[-1].isspace() for u in missing):
-                return self._encode([text])[0]
-            cache.update(zip(missing, self._encode([" " + u for u in missing])))
-            rest = b"".join(map(cache.__getitem__, units[1:]))
-        head = units[0]
-        if not head or head[-1].isspace():
-            return self._encode([text])[0]
-        return self._encode([head])[0] + rest
+        self._forget()
+
+    def _forget(self) -> None:
+        self._known: dict[int, int] = {}
+        self._pool = [np.zeros(0, np.uint32)]
+        self._places = [np.zeros((0, 2), np.int64)]  # where a unit's ids are in the pool, how many
+        self._used = 0
+
+    def _learn(self, names: list[int], units: list[bytes]) -> None:
+        """Add the ids of new units to the pool.
+
+        Those without a line break are put into one text with line breaks between them: a break
+        before a space is a token of its own, so it shows where the next unit begins.
+        """
+        plain, other = [], []
+        for k, unit in enumerate(units):
+            alone = unit[:1] != b" " or len(unit) > self.LONG_UNIT or b"\n" in unit
+            (other if alone else plain).append(k)
+        if plain:
+            joined = b"\n".join([units[k] for k in plain]).decode()
+            ids = np.array(self._coder.encode_ordinary(joined), dtype=np.uint32)
+            breaks = np.flatnonzero(ids == self._line)
+            begin = np.concatenate(([0], breaks + 1))
+            self._add([names[k] for k in plain], ids, begin, np.append(breaks, len(ids)) - begin)
+        if other:
+            found = [self._coder.encode_ordinary(units[k].decode())
+                     if len(units[k]) <= self.LONG_UNIT else
+                     self._tokenizer.encode(units[k].decode(), add_special_tokens=False).ids
+                     for k in other]
+            size = np.array([len(f) for f in found], np.int64)
+            ids = np.array(list(chain.from_iterable(found)), dtype=np.uint32)
+            self._add([names[k] for k in other], ids, np.cumsum(size) - size, size)
+
+    def _add(self, names: list[int], ids: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        count = len(self._known)
+        self._known.update(zip(names, range(count, count + len(names))))
+        self._pool.append(ids)
+        self._places.append(np.stack([begin + self._used, size], axis=1))
+        self._used += len(ids)
+
+    def __call__(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and where each text's begin."""
+        if len(self._known) > self._entries:
+            self._forget()
+        begin, end = _units(texts)
+        hashes = ranges_hashes(texts.data, begin, end)
+        names, at, code = np.unique(hashes, return_index=True, return_inverse=True)
+        names = names.tolist()
+        known = self._known
+        new = [k for k, name in enumerate(names) if name not in known]
+        body = texts.data.tobytes()
+        for k in range(0, len(new), 5000):
+            some = new[k:k + 5000]
+            self._learn([names[i] for i in some], [body[begin[at[i]]:end[at[i]]] for i in some])
+        if len(names) == 0:
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        self._pool = [np.concatenate(self._pool)]
+        self._places = [np.concatenate(self._places)]
+        place = np.fromiter(map(known.__getitem__, names), np.int64, len(names))
+        first, size = self._places[0][place[code]].T
+        ends = np.cumsum(size)
+        ids = self._pool[0][np.arange(ends[-1]) + np.repeat(first - (ends - size), size)]
+        bounds = np.concatenate(([0], ends))[np.searchsorted(begin, texts.bounds)]
+        return ids, bounds
+
+
+# First bytes of all characters beyond ASCII that are white space, and of some that are not.
+_MAYBE_SPACE = (0xC2, 0xE1, 0xE2, 0xE3)
+
+
+def _units(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    data, n = texts.data, len(texts.data)
+    solid = NON_SPACE.copy()
+    solid[list(_MAYBE_SPACE)] = False
+    solid[0x1C:0x20] = False
+    cut = np.zeros(n + 1, bool)
+    cut[:n - 1] = (data[:-1] == 0x20) & solid[data[1:]] if n else False
+    ends = texts.bounds[1:]
+    cut[ends[ends > 0] - 1] = False  # a space at the end of a text, whatever the next text is
+    cut[texts.bounds[:-1]] = True
+    cut[n] = False
+    begin = np.flatnonzero(cut)
+    end = np.append(begin[1:], n)
+    return begin[end > begin], end[end > begin]
+
+
+# How the tokenizer splits a text before it merges bytes (a fixed value of its vocabulary).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_characters() -> dict[int, str]:
+    """The printable character that stands for each byte in the vocabulary."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 _coders: dict[str, TokenCoder] = {}
@@ -90,11 +181,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_column: str, text_column: s
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             rows = []
-            for ident, text in zip(batch.column("id"), batch.column("text")):
-                ident, coded = ident.as_py(), encode(text.as_py()) + end
-                for piece, (start, length) in enumerate(cuts(len(coded) // 4, capacity)):
-                    crc = zlib.crc32(coded[4 * start:4 * (start + length)])
-                    rows.append((ident, piece, start, length, crc, crc % buckets))
+            for part, texts in slices(batch, "text"):
+                ids, bounds = encode(texts)
+                for k, ident in enumerate(part.column("id").to_pylist()):
+                    coded = ids[bounds[k]:bounds[k + 1]].astype("<u4").tobytes() + end
+                    for piece, (start, length) in enumerate(cuts(len(coded) // 4, capacity)):
+                        crc = zlib.crc32(coded[4 * start:4 * (start + length)])
+                        rows.append((ident, piece, start, length, crc, crc % buckets))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t.type) for c, t in zip(zip(*rows), _PIECES)] if rows else
                 [pa.array([], t.type) for t in _PIECES], schema=_PIECES)

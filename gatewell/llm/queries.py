@@ -7,12 +7,16 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gatewell.llm.chunks import chunk_dedup
 from gatewell.llm.contamination import contaminated
 from gatewell.llm.exact import exact_duplicates, normalised
+from gatewell.llm.licenses import license_scan
 from gatewell.llm.near import near_duplicates
+from gatewell.llm.ngram_lm import backoff_scores
 from gatewell.llm.packing import best_fit_packing
 from gatewell.llm.quality import quality_scores
 from gatewell.llm.shipping import ship
+from gatewell.llm.suffixes import suffix_dedup
 from gatewell.session import load
 
 QUERIES: dict = {}
@@ -75,3 +79,23 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(load(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup(load(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op10_chunk_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return chunk_dedup(load(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan(load(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op6_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return backoff_scores(load(spark, folder, "documents").select("doc_id", "text"))

@@ -126,16 +126,20 @@ def words_of(texts: Texts, member: np.ndarray, lower: bool = True) -> Words:
     after[ends[ends > 0] - 1] = False
     begin = np.flatnonzero(inside & ~before)
     end = np.flatnonzero(inside & ~after) + 1
-    up, down = _power_tables(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[LOWER[data] if lower else data] * up[:n], out=sums[1:])
-    hashes = (sums[end] - sums[begin]) * down[begin]
-    hashes = mixed(hashes + (end - begin).astype(np.uint64))
+    hashes = ranges_hashes(LOWER[data] if lower else data, begin, end)
     first = np.searchsorted(begin, bounds)
     text = np.repeat(np.arange(len(texts)), np.diff(first))
     return Words(hashes, text, first, begin, end)
 
 
+def ranges_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of the bytes of each range."""
+    up, down = _power_tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE_VALUE[data] * up[:len(data)], out=sums[1:])
+    return mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+
+
 def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     """The hash of each run of ``size`` neighbours, by its start; runs ignore where texts end."""
     n = len(hashes) - size + 1
