@@ -10,8 +10,10 @@ from gatewell.functions import quoted
 from gatewell.session import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Characters beyond ASCII that a full lower-casing would change.
-OTHER_CAPITALS = r"[\x{80}-\x{10FFFF}&&[\p{IsUppercase}\p{Lt}]]"
+# Characters beyond ASCII that a full lower-casing may change: all but those of classes without
+# capitals. Characters that the running Java does not know are among them.
+MAYBE_CAPITALS = (r"[\x{80}-\x{10FFFF}&&[^\p{Ll}\p{Lo}\p{Lm}\p{M}\p{Nd}\p{No}\p{P}\p{Sc}\p{Sk}"
+                  r"\p{Sm}\p{Z}]]")
 HEAD_CHARS = 128
 # The heads that may need their full texts are kept as marks in this many slots. The broadcast of
 # the marks has at most this many rows, whatever the size of the input.
@@ -21,14 +23,14 @@ SLOTS = 1 << 17
 def normalised(text: Column) -> Column:
     """A-Z in lower case, all else as it is; null counts as empty.
 
-    Most texts have no other capitals, and then the built-in lower-casing does just that. It is far
+    Most texts have no other capitals; then the built-in lower-casing does just that. It is far
     faster than going through the letters one by one, which is left to the rest.
     """
     text = F.coalesce(text, F.lit(""))
     by_letter = text
     for upper, lower in zip(UPPER, LOWER):
         by_letter = F.replace(by_letter, F.lit(upper), F.lit(lower))
-    return F.when(text.rlike(OTHER_CAPITALS), by_letter).otherwise(F.lower(text))
+    return F.when(text.rlike(MAYBE_CAPITALS), by_letter).otherwise(F.lower(text))
 
 
 def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",

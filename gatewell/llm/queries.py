@@ -15,6 +15,7 @@ from gatewell.llm.near import near_duplicates
 from gatewell.llm.ngram_lm import backoff_scores
 from gatewell.llm.packing import best_fit_packing
 from gatewell.llm.quality import quality_scores
+from gatewell.llm.sanitise import private_spans
 from gatewell.llm.shipping import ship
 from gatewell.llm.suffixes import suffix_dedup
 from gatewell.session import load
@@ -99,3 +100,10 @@ def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_language_model(spark: SparkSession, folder: str) -> DataFrame:
     return backoff_scores(load(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op7_private(spark: SparkSession, folder: str) -> DataFrame:
+    found = private_spans(load(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
+                        F.sha2("base_spans", 256).alias("base_sha256"), "spans")
