@@ -25,6 +25,7 @@ LOWEST = 40              # added to a register, so that it fits in a byte
 # An estimate this far below the threshold is off by more than six standard deviations.
 LEAST_ESTIMATE = 0.52
 TILE = 1024
+TILE_SHINGLES = 1_000_000   # so that tiles of long texts have fewer of them
 _GRID = np.linspace(0.0, 1.0, 101)
 
 
@@ -130,48 +131,64 @@ def _registers(column) -> np.ndarray:
     return texts_of(column).data.reshape(-1, REGISTERS)
 
 
-def _tile_pairs(batches):
-    """Pairs within tiles of buckets: of different components, with a high enough estimate."""
-    for table in whole_groups(batches, ["key", "i", "j"]):
-        cols = {c: table[c].to_numpy() for c in ("key", "i", "j", "block", "rep", "root", "n", "band")}
+def _tile_links(batches):
+    """Links within tiles of groups between documents of different components.
+
+    Candidates agree in a band and have a high enough estimate; they are confirmed here on full
+    sets. Of several links between the same two components one is enough, so components that were
+    joined in the tile are not compared again.
+    """
+    for table in whole_groups(batches, ["leader", "i", "j"]):
+        table = table.combine_chunks()
+        cols = {c: table[c].to_numpy() for c in ("leader", "i", "j", "block", "rep", "root", "n")}
         sketch = _registers(table["sketch"])
-        name = mixed(mixed(cols["key"].view(np.uint64)) + (cols["i"] * TILE * 64 + cols["j"])
-                     .astype(np.uint64))
+        body = table["text"].combine_chunks() if isinstance(table["text"], pa.ChunkedArray) \
+            else table["text"]
+        name = mixed(mixed(cols["leader"].view(np.uint64))
+                     + (cols["i"] * (1 << 31) + cols["j"]).astype(np.uint64))
         edges = run_edges(name)
-        found = []
         for lo, hi in zip(edges[:-1], edges[1:]):
-            at = np.arange(lo, hi)
-            left = at[cols["block"][at] == cols["i"][at]]
-            right = at[cols["block"][at] == cols["j"][at]]
-            for part in np.array_split(left, max(1, len(left) * len(right) // 60_000)):
-                if len(part) == 0 or len(right) == 0:
-                    continue
-                a, b = np.repeat(part, len(right)), np.tile(right, len(part))
-                ok = cols["root"][a] != cols["root"][b]
-                if cols["i"][lo] == cols["j"][lo]:
-                    ok &= cols["rep"][a] < cols["rep"][b]
-                a, b = a[ok], b[ok]
-                same = sketch[a] == sketch[b]
-                ok = same.sum(axis=1) >= REGISTERS // 2
-                # A pair that agrees in several bands is told by the first of them.
-                ok &= same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == cols["band"][a]
-                a, b = a[ok], b[ok]
-                ok = estimated(sketch[a], sketch[b], cols["n"][a], cols["n"][b]) >= LEAST_ESTIMATE
-                found.append(np.stack([cols["rep"][a[ok]], cols["rep"][b[ok]]]))
-        if found:
-            u, v = np.concatenate(found, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-
-def _likely(batches):
-    for batch in batches:
-        if batch.num_rows:
-            n = [batch.column(c).to_numpy().astype(float) for c in ("n", "n_v")]
-            a, b = _registers(batch.column("sketch")), _registers(batch.column("sketch_v"))
-            parts = [estimated(a[k:k + 4096], b[k:k + 4096], n[0][k:k + 4096], n[1][k:k + 4096])
-                     for k in range(0, len(a), 4096)]
-            ok = pa.array(np.concatenate(parts) >= LEAST_ESTIMATE)
-            yield batch.select(["u", "v"]).filter(ok)
+            part = {c: v[lo:hi] for c, v in cols.items()}
+            left = np.flatnonzero(part["block"] == part["i"][0])
+            right = np.flatnonzero(part["block"] == part["j"][0])
+            if len(left) == 0 or len(right) == 0 or part["root"].min() == part["root"].max():
+                continue
+            u, v = _links_of_tile(part, left, right, sketch[lo:hi], body.slice(lo, hi - lo))
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
+def _links_of_tile(part, left, right, sketch, body) -> tuple[list[int], list[int]]:
+    values, first = shingle_sets(texts_of(body))
+    known, code = np.unique(values, return_inverse=True)
+    size = np.diff(first)
+    mark = np.zeros(len(known), bool)
+    root, rep = part["root"].copy(), part["rep"]
+    same_block = part["i"][0] == part["j"][0]
+    bands = sketch.reshape(len(sketch), BANDS, ROWS)
+    u, v = [], []
+    for x in left:
+        other = right[(root[right] != root[x]) & ((rep[right] > rep[x]) | (not same_block))]
+        if len(other) == 0:
+            continue
+        other = other[(bands[other] == bands[x]).all(axis=2).any(axis=1)]
+        if len(other) == 0:
+            continue
+        ok = estimated(np.broadcast_to(sketch[x], (len(other), REGISTERS)), sketch[other],
+                       np.full(len(other), float(part["n"][x])), part["n"][other].astype(float))
+        other = other[ok >= LEAST_ESTIMATE]
+        if len(other) == 0:
+            continue
+        mark[code[first[x]:first[x + 1]]] = True
+        both = np.array([np.count_nonzero(mark[code[first[y]:first[y + 1]]]) for y in other])
+        mark[code[first[x]:first[x + 1]]] = False
+        linked = other[OF * both >= SHARED * (size[x] + size[other] - both)]
+        for y in linked:
+            if root[y] != root[x]:
+                u.append(int(rep[x]))
+                v.append(int(rep[y]))
+                root[root == root[y]] = root[x]
+    return u, v
 
 
 def _confirmed(batches):
@@ -199,12 +216,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     1. Each set gets a sketch; equal sets are one node from here on, whatever their number.
     2. Nodes that agree in all registers of a band share a bucket. At the threshold, a pair shares
        none of the bands with a chance below 1 in 10**7.
-    3. In each bucket, members are compared with its smallest node: first each member with the
-       one it shares most bands with, then with all whose component still differs.
-    4. Buckets that still hold several components are compared in full, in tiles of at most
-       ``tile`` by ``tile`` members, each in one task; only pairs of different components with a
-       high enough estimate leave the task. So no link that matters is lost, and tight groups of
-       thousands of near copies are settled in step 3, linearly.
+    3. A bucket's smallest node is its leader. Each node is first compared with the leader it
+       shares most bands with.
+    4. All nodes that share a bucket with the same leader are a group, so two nodes in a bucket are
+       in a group too. Groups that still hold several components are compared in tiles of bounded
+       size, each in one task. What agrees in a band and is likely is confirmed there, and only
+       links between different components leave the task. So no link that matters is lost.
 
     Pairs are confirmed on the texts of both; no bucket, set or component is gathered on the driver.
 
@@ -234,60 +251,47 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 def _links(source: DataFrame, sets: DataFrame, tile: int) -> DataFrame:
     """Confirmed links between nodes that join the same components as all links do."""
-    bands = sets.select("rep", F.posexplode(F.array(*[
+    bands = sets.select("rep", F.explode(F.array(*[
         F.xxhash64(F.lit(k), F.substring("sketch", ROWS * k + 1, ROWS)) for k in range(BANDS)]))
-        .alias("band", "key"))
+        .alias("key"))
     buckets = (bands.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("other"))
                .where("leader < other").select("key", "leader"))
-    members = materialize(bands.join(buckets, "key"), "near-members")
-    nodes = members.select(F.col("rep").alias("id")).distinct()
-    texts = materialize(source.join(nodes, "id", "left_semi"), "near-texts")
     stars = materialize(
-        members.where("rep > leader").groupBy(F.col("rep").alias("u"), F.col("leader").alias("v"))
+        bands.join(buckets, "key").where("rep > leader")
+        .groupBy(F.col("rep").alias("u"), F.col("leader").alias("v"))
         .agg(F.count(F.lit(1)).alias("bands")), "near-stars")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        left = texts.select(F.col("id").alias("u"), "text")
-        right = texts.select(F.col("id").alias("v"), F.col("text").alias("text_v"))
-        return materialize(pairs.join(left, "u").join(right, "v")
-                           .select("u", "v", "text", "text_v")
-                           .mapInArrow(_confirmed, "u bigint, v bigint"), "near-links")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("rep").alias("u"), "n", "sketch")
-        right = sets.select(F.col("rep").alias("v"), F.col("n").alias("n_v"),
-                            F.col("sketch").alias("sketch_v"))
-        return pairs.join(left, "u").join(right, "v").mapInArrow(_likely, "u bigint, v bigint")
-
-    def rooted(frame: DataFrame, column: str, roots: DataFrame) -> DataFrame:
-        named = roots.select(F.col("node").alias(column), F.col("root").alias(f"{column}_root"))
-        return frame.join(named, column, "left").withColumn(
-            f"{column}_root", F.coalesce(f"{column}_root", column))
-
-    best = stars.groupBy("u").agg(F.max(F.struct(F.col("bands"), (-F.col("v")).alias("least"))).alias("top"))
-    tried = materialize(best.select("u", (-F.col("top.least")).alias("v")), "near-tried")
-    links = confirmed(tried)
-    roots = components(links)
-
-    rest = rooted(rooted(stars.select("u", "v"), "u", roots), "v", roots)
-    rest = rest.where("u_root <> v_root").select("u", "v").join(tried, ["u", "v"], "left_anti")
-    second = materialize(likely(rest), "near-tried")
-    links = links.unionByName(confirmed(second))
-    tried = tried.unionByName(second)
+    nodes = stars.select(F.col("u").alias("id")).unionByName(
+        stars.select(F.col("v").alias("id"))).distinct()
+    # One row per node, whatever repeats its id.
+    texts = materialize(source.join(nodes, "id", "left_semi").groupBy("id")
+                        .agg(F.min("text").alias("text")), "near-texts")
+
+    best = stars.groupBy("u").agg(
+        F.max(F.struct(F.col("bands"), (-F.col("v")).alias("least"))).alias("top"))
+    left = texts.select(F.col("id").alias("u"), "text")
+    right = texts.select(F.col("id").alias("v"), F.col("text").alias("text_v"))
+    links = materialize(
+        best.select("u", (-F.col("top.least")).alias("v")).join(left, "u").join(right, "v")
+        .select("u", "v", "text", "text_v").mapInArrow(_confirmed, "u bigint, v bigint"),
+        "near-links")
     roots = components(links)
 
-    split = rooted(members.select("key", "band", "rep"), "rep", roots).withColumnRenamed(
-        "rep_root", "root")
-    mixed_buckets = (split.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
-                                              F.count(F.lit(1)).alias("rows"))
-                     .where("lo < hi").select("key", F.ceil(F.col("rows") / tile).alias("blocks")))
-    spread = (split.join(mixed_buckets, "key")
+    group = stars.select(F.col("v").alias("leader"), F.col("u").alias("rep")).unionByName(
+        stars.select(F.col("v").alias("leader"), F.col("v").alias("rep")).distinct())
+    group = group.join(roots, F.col("rep") == F.col("node"), "left").select(
+        "leader", "rep", F.coalesce("root", "rep").alias("root"))
+    group = materialize(group.join(sets.select("rep", "n"), "rep"), "near-groups")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / tile), F.ceil(F.sum("n") / TILE_SHINGLES))
+    split = (group.groupBy("leader")
+             .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), blocks.alias("blocks"))
+             .where("lo < hi").select("leader", "blocks"))
+    spread = (group.join(split, "leader")
               .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
               .withColumn("c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-              .select("key", F.least("block", "c").alias("i"), F.greatest("block", "c").alias("j"),
-                      "block", "rep", "root", F.col("band").cast("bigint").alias("band"))
-              .join(sets.select("rep", "n", "sketch"), "rep")
-              .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"))
-    pairs = spread.mapInArrow(_tile_pairs, "u bigint, v bigint").distinct()
-    third = materialize(pairs.join(tried, ["u", "v"], "left_anti"), "near-tried")
-    return links.unionByName(confirmed(third))
+              .select("leader", F.least("block", "c").alias("i"), F.greatest("block", "c").alias("j"),
+                      "block", "rep", "root", "n"))
+    full = texts.join(sets.select(F.col("rep").alias("id"), "sketch"), "id")
+    found = (spread.join(full, spread["rep"] == full["id"]).drop("id")
+             .repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
+             .mapInArrow(_tile_links, "u bigint, v bigint"))
+    return links.unionByName(materialize(found, "near-links"))
