@@ -128,7 +128,7 @@ def _scores(order: int, parts: int, backoff: float):
             score = np.where(known, longer, np.where(here >= 0, np.log(backoff) + score, score))
             seen = known if n == order else seen
         n = len(texts)
-        sums = np.bincount(words.text, score, n)
+        sums = np.bincount(words.text, score, n).astype(float)
         size = words.counts()
         mean = sums / np.maximum(size, 1)
         return pa.table({

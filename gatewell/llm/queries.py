@@ -44,7 +44,7 @@ def vocabulary(name: str) -> str:
 @query
 def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_scores(load(spark, folder, "documents"), load(spark, folder, "labels"),
-                          keep=["doc_id"])
+                          keep=["doc_id"]).withColumnRenamed("accepted", "kept")
 
 
 @query

@@ -89,20 +89,25 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _of_kind(text: Column, number: int, kind: str, pattern: str) -> Column:
+    present = text.rlike(pattern)
+    if kind in NEEDED:
+        present = text.contains(NEEDED[kind]) & present
+    spans = F.filter(located(text, pattern), lambda m: _valid(kind, m["value"]))
+    return F.when(present, F.transform(spans, lambda m: F.struct(
+        F.lit(number).alias("kind"), m["start"].alias("start"), m["end"].alias("end"),
+        m["value"].alias("value"))))
+
+
 def base_spans(text: Column) -> Column:
     """All valid matches of all kinds: (kind, start, end, value), by kind and start."""
-    found = []
-    for number, (kind, pattern) in enumerate(PATTERNS.items()):
-        present = text.rlike(pattern)
-        if kind in NEEDED:
-            present = text.contains(NEEDED[kind]) & present
-        spans = F.filter(located(text, pattern), lambda m, kind=kind: _valid(kind, m["value"]))
-        spans = F.transform(spans, lambda m, number=number: F.struct(
-            F.lit(number).alias("kind"), m["start"].alias("start"), m["end"].alias("end"),
-            m["value"].alias("value")))
-        found.append(F.when(present, spans))
     empty = F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")
-    return F.concat(*[F.coalesce(f, empty) for f in found])
+    return F.concat(*[F.coalesce(_of_kind(text, number, kind, pattern), empty)
+                      for number, (kind, pattern) in enumerate(PATTERNS.items())])
+
+
+def _count(number: int, kind: str) -> Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == number)).cast("bigint").alias(f"n_{kind}")
 
 
 def _beside(text: Column, span: Column, base: Column, reach: int) -> Column:
@@ -169,8 +174,7 @@ def private_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     base = F.transform("base", lambda s: F.struct(
         s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     every = F.concat(base, F.array_sort(F.coalesce("terms", none)))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint")
-              .alias(f"n_{kind}") for k, kind in enumerate(PATTERNS)]
+    counts = [_count(number, kind) for number, kind in enumerate(PATTERNS)]
     return (rows.drop("mentions").join(places, "key", "left")
             .select(F.col("id").alias(id_column), *counts, _listed(F.col("base")).alias("base_spans"),
                     _listed(every).alias("spans")))
