@@ -21,7 +21,7 @@ from gatewell.llm.textcode import (
 
 ORDER = 2
 BACKOFF = 0.4
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 PART_BYTES = 16 << 20
 UNSEEN = 0.5     # what a word that no other document has counts as
 
@@ -48,6 +48,18 @@ def _edges(values: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(values, bounds), [len(values)]))
 
 
+def _packed(names: np.ndarray) -> bytes:
+    """Sorted hashes as their differences, byte plane by byte plane: of neighbours within a part the
+    upper planes are zero, and the shuffle's compression takes those out."""
+    steps = np.diff(names, prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _requests(order: int, parts: int):
     def rows_of(batches):
         for table in whole_groups(batches, ["chunk"]):
@@ -61,9 +73,10 @@ def _requests(order: int, parts: int):
                     full = np.flatnonzero(np.diff(at))
                     offsets = pa.array(np.append(at[full], len(names)).astype(np.int32))
                     n = len(full)
+                    shares = np.split(names, at[full][1:])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(full.astype(np.int64)), pa.array(np.full(n, chunk[lo])),
-                         pa.ListArray.from_arrays(offsets, pa.array(signed(names))),
+                         pa.array([_packed(s) for s in shares], pa.binary()),
                          pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32)))],
                         names=["part", "chunk", "names", "counts"])
     return rows_of
@@ -81,8 +94,9 @@ def _totals(batches):
         edges = run_edges(table["part"].to_numpy())
         for lo, hi in zip(edges[:-1], edges[1:]):
             some = table.slice(lo, hi - lo)
-            names, offsets = _lists(some["names"])
-            counts, _ = _lists(some["counts"])
+            counts, offsets = _lists(some["counts"])
+            names = np.concatenate([_unpacked(x.as_buffer()) for chunk in some["names"].chunks
+                                    for x in chunk])
             order = np.argsort(names, kind="stable")
             runs = run_edges(names[order])
             sums = np.add.reduceat(counts[order].astype(np.int64), runs[:-1])
@@ -91,7 +105,7 @@ def _totals(batches):
             # Names tell which n-gram a list is of; each list keeps its first name for that.
             yield pa.RecordBatch.from_arrays(
                 [some["chunk"].combine_chunks(), some["part"].combine_chunks(),
-                 pa.array(names[offsets[:-1]]),
+                 pa.array(signed(names[offsets[:-1]])),
                  pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(total))],
                 names=["chunk", "part", "name", "totals"])
 
@@ -169,7 +183,7 @@ def backoff_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str
                           ident.alias("id"), body.alias("text"))
               .repartition(max(tasks, chunks // 4), "chunk"))
     requests = source.sortWithinPartitions("chunk").mapInArrow(
-        _requests(order, parts), "part bigint, chunk bigint, names array<bigint>, counts array<int>")
+        _requests(order, parts), "part bigint, chunk bigint, names binary, counts array<int>")
     answers = (requests.repartition(max(tasks, parts // 4), "part").sortWithinPartitions("part")
                .mapInArrow(_totals, "chunk bigint, part bigint, name bigint, totals array<bigint>"))
     return (source.groupBy("chunk").cogroup(answers.groupBy("chunk"))
