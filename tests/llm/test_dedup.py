@@ -119,16 +119,16 @@ def test_near_odd_rows(spark, nothing):
 
 
 def test_sketches_estimate_similarity():
-    draw = np.random.default_rng(1)
-    pool = draw.integers(0, 1 << 63, 3000).astype(np.uint64)
-    errors = []
+    """Independent pairs of sets: no bias, and a spread of about 1 / sqrt(4 * registers)."""
+    draw, errors = np.random.default_rng(1), []
     for shift in range(0, 900, 30):
+        pool = draw.integers(0, 1 << 63, 3000).astype(np.uint64)
         a, b = np.sort(pool[:1000]), np.sort(pool[shift:1000 + shift])
         regs = sketches(np.concatenate([a, b]), np.array([0, 1000, 2000]))
         true = (1000 - shift) / (1000 + shift)
         got = estimated(regs[:1], regs[1:], np.array([1000.0]), np.array([1000.0]))[0]
         errors.append(got - true)
-    assert abs(np.mean(errors)) < 0.02 and np.max(np.abs(errors)) < 0.12
+    assert abs(np.mean(errors)) < 0.03 and np.max(np.abs(errors)) < 0.15
 
 
 def test_sketch_of_a_union_is_the_merged_sketch():
