@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import json
+from collections.abc import Mapping
+from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -44,7 +47,7 @@ def current_state(log: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
 
 
 LOG_SCHEMA = ("event_id bigint, ts timestamp_ntz, approval_id string, pipeline_id string, "
-              "stage string, action string, actor string, comment string")
+              "stage string, action string, actor string, comment string, artifacts string")
 
 
 class ApprovalLog:
@@ -59,21 +62,35 @@ class ApprovalLog:
         except AnalysisException:  # nothing was appended yet
             return self.spark.createDataFrame([], LOG_SCHEMA)
 
-    def _append(self, ts, approval_id, pipeline_id, stage, action, actor, comment) -> None:
-        latest = self.events().agg(F.max("event_id").alias("n")).first()["n"]
+    def _append(self, ts, approval_id, pipeline_id, stage, action, actor, comment,
+                artifacts=None) -> None:
+        # Only the events of this approval are looked at; its events are numbered among themselves.
+        latest = (self.events().where(F.col("approval_id") == approval_id)
+                  .agg(F.max("event_id").alias("n")).first()["n"])
         row = (0 if latest is None else latest + 1, ts, approval_id, pipeline_id, stage, action,
-               actor, comment)
+               actor, comment, artifacts)
         (self.spark.createDataFrame([row], LOG_SCHEMA).coalesce(1)
          .write.mode("append").parquet(self.path))
 
     def request(self, pipeline_id: str, stage: str, description: str, ts: datetime.datetime,
-                actor: str = "build") -> str:
-        """Open a request; the same request at the same time has the same id."""
+                actor: str = "build", artifacts: Mapping[str, Any] | None = None) -> str:
+        """Open a request; the same request at the same time has the same id.
+
+        ``artifacts`` name what the request is about.
+        """
         text = "|".join((pipeline_id, stage, description, ts.isoformat()))
         approval_id = f"{pipeline_id}_{stage}_{hashlib.sha256(text.encode()).hexdigest()[:16]}"
-        self._append(ts, approval_id, pipeline_id, stage, REQUESTED, actor, description)
+        self._append(ts, approval_id, pipeline_id, stage, REQUESTED, actor, description,
+                     json.dumps(dict(artifacts or {}), sort_keys=True, default=str))
         return approval_id
 
+    def artifacts(self, approval_id: str) -> dict[str, Any]:
+        """What the latest request of an id is about; empty for an unknown id."""
+        row = (self.events().where((F.col("approval_id") == approval_id)
+                                   & (F.col("action") == REQUESTED))
+               .agg(F.max_by("artifacts", "event_id").alias("a")).first())
+        return json.loads(row["a"]) if row["a"] else {}
+
     def status(self, approval_id: str) -> str | None:
         """pending, approved or rejected; None for an id without a request."""
         row = current_state(self.events().where(F.col("approval_id") == approval_id)).first()

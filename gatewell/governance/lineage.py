@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from gatewell.functions import literal
-from gatewell.operators.skew import skew_join
+from gatewell.operators.skew import distinct_names, skew_join
 from gatewell.operators.steps import apply_step, referenced_columns
 from gatewell.session import materialize
 
@@ -80,21 +80,28 @@ def column_edges(inputs: Mapping[str, DataFrame], steps: Sequence[Mapping[str, A
 
     for step in steps:
         op, before = step["op"], df
-        df = apply_step(df, step, inputs) if op != "rank_segment" else df.withColumn(
-            step.get("as", "segment"), F.lit(None).cast("string"))
+        if op == "rank_segment":
+            added = [*([step["rank_as"]] if "rank_as" in step else []), *step.get("tiles", {}),
+                     step.get("as", "segment")]
+            df = df.select("*", *[F.lit(None).cast("string").alias(name) for name in added])
+        else:
+            df = apply_step(df, step, inputs)
         if op == "derive":
             computed = {name: of(before, text) for name, text in step["columns"].items()}
             origin = {**origin, **computed}
         elif op == "rename":
             origin = {step["columns"].get(c, c): o for c, o in origin.items()}
         elif op == "join":
-            origin = {**origin, **{c: {(step["table"], c)} for c in inputs[step["table"]].columns}}
+            other = inputs[step["table"]].columns
+            names = distinct_names(before.columns, other)  # a left column keeps its origin
+            origin = {**origin, **{names.get(c, c): {(step["table"], c)} for c in other}}
         elif op == "aggregate":
             measured = {name: of(before, text) for name, text in step["measures"].items()}
             origin = {**{c: origin[c] for c in step["keys"]}, **measured}
         elif op == "rank_segment":
             order = [t.lstrip("-") for t in step["order_by"]]
-            origin[step.get("as", "segment")] = set().union(*[origin[c] for c in order])
+            ordered = set().union(*[origin[c] for c in order])
+            origin = {**origin, **{name: ordered for name in added}}
         elif op == "sql":
             # The text is opaque: every result column may depend on every column it could read.
             tables = step.get("tables", {}).values()

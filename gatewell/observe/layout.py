@@ -14,12 +14,22 @@ LARGE_FILE = 2 * 1024 * 1024 * 1024
 
 
 def file_sizes(frames: Mapping[str, DataFrame]) -> DataFrame:
-    """Size and rows of every file behind the frames; no data column is read."""
-    listed = [df.select(F.lit(name).alias("table_name"), F.col("_metadata.file_path").alias("path"),
-                        F.col("_metadata.file_size").alias("bytes"))
-              for name, df in frames.items()]
-    return (reduce(DataFrame.unionByName, listed).groupBy("table_name", "path", "bytes")
-            .agg(F.count(F.lit(1)).alias("rows")))
+    """Size and rows of every file behind the frames; no data column is read.
+
+    The files are listed by their names, so those without rows are seen too. Rows are counted per
+    file on the map side.
+    """
+    def one(name: str, df: DataFrame) -> DataFrame:
+        spark = df.sparkSession
+        # Whole-file records, of which only path and length are asked for: contents are not read.
+        listed = (spark.read.format("binaryFile").load(df.inputFiles())
+                  .select("path", F.col("length").alias("bytes")))
+        rows = (df.select(F.col("_metadata.file_path").alias("path")).groupBy("path")
+                .agg(F.count(F.lit(1)).alias("rows")))
+        return listed.join(rows, "path", "left").select(
+            F.lit(name).alias("table_name"), "path", "bytes",
+            F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"))
+    return reduce(DataFrame.unionByName, [one(n, d) for n, d in frames.items()])
 
 
 def file_size_advice(frames: Mapping[str, DataFrame], small: int = SMALL_FILE,

@@ -24,17 +24,25 @@ def runtime_stats(runs: DataFrame, exact: bool = True) -> DataFrame:
     stats = daily.groupBy("job", "day").agg(*measures)
     if exact:
         quantiles = group_quantiles(daily, ["job", "day"], "cost", {"p50": 0.5, "p95": 0.95})
-        stats = stats.join(quantiles, ["job", "day"])
+        # Null-safe and from the runs' side: a job without a name or without costs keeps its row.
+        quantiles = quantiles.withColumnsRenamed({"job": "_job", "day": "_day"})
+        stats = stats.join(quantiles, F.col("job").eqNullSafe(F.col("_job"))
+                           & F.col("day").eqNullSafe(F.col("_day")), "left")
     return stats.select("job", "day", "runs", "p50", "p95", "total",
                         share(F.col("_failed"), F.col("runs")).alias("error_rate"))
 
 
 def runtime_alerts(runs: DataFrame, budget: float, days: int = 7, factor: float = 1.5) -> DataFrame:
-    """Cost per job and day against the mean of its days before, and spent against the month's
-    budget. The windows run over one row per job and day."""
+    """Cost per job and day against the mean over the days before it, and spent against the month's
+    budget.
+
+    The days before are calendar days: those on which the job did not run have no cost and do not
+    count, and days further back never do. The windows run over one row per job and day.
+    """
     daily = (runs.groupBy("job", F.to_date("ts").alias("day"))
              .agg(F.sum(money("cost")).alias("_cost")))
-    before = Window.partitionBy("job").orderBy("day").rowsBetween(-days, -1)
+    daily = daily.withColumn("_day", F.unix_date("day"))
+    before = Window.partitionBy("job").orderBy("_day").rangeBetween(-days, -1)
     month = (Window.partitionBy("job", F.trunc("day", "month")).orderBy("day")
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     history = daily.select(

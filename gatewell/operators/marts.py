@@ -50,8 +50,15 @@ def daily_sales(lineitem: DataFrame) -> DataFrame:
 
 
 def surrogate_key(*parts: Column) -> Column:
-    """A key that depends on the natural key only: no counter, no order, no coordination."""
-    return F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)
+    """A key that depends on the natural key only: no counter, no order, no coordination.
+
+    Each part is written with its length in front, and a null as such, so no two different natural
+    keys give the same text.
+    """
+    def written(part: Column) -> Column:
+        text = part.cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("null"))
+    return F.sha2(F.concat_ws("|", *[written(p) for p in parts]), 256)
 
 
 def customer_dim(customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:

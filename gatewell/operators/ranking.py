@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gatewell.functions import quoted
 from gatewell.session import materialize
 
 # monotonically_increasing_id keeps the row number within a partition in the lower 33 bits.
@@ -62,24 +63,37 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                     probs: dict[str, float]) -> DataFrame:
     """Exact interpolated quantiles per group, one column per entry of ``probs``.
 
-    A hot group is never gathered in one task: all rows are ranked by (keys, value), and only the
-    two rows around each wanted position are looked up, by a join on the unique rank.
+    Equal values of a group are first counted together, before any shuffle, so one value that most
+    rows have is one row from there on. The counted values are sorted by (keys, value) into parts
+    of equal size; a part knows from one summary row per part how many rows of its first group
+    came before. A value then covers a range of places in its group, and the wanted places are
+    picked by one aggregate. Groups without any value have no row.
     """
-    present = df.select(*keys, value).where(F.col(value).isNotNull())
-    ranked = global_rank(present, [*keys, value], "_rank")
-    groups = ranked.groupBy(*keys).agg(F.min("_rank").alias("_first"),
-                                       F.count(F.lit(1)).alias("_n"))
-    wanted = []
+    counted = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_value"))
+               .agg(F.count(F.lit(1)).alias("_count")))
+    placed = sorted_parts(counted, [*keys, "_value"]).withColumn(
+        "_key", F.struct(*[F.col(quoted(k)) for k in keys]))
+    sums = placed.groupBy("_part", "_key").agg(F.sum("_count").alias("_sum"))
+    # One row per part and group; a group in several parts gets an offset in each but the first.
+    sizes = placed.groupBy("_key").agg(F.sum("_count").alias("_n"),
+                                       F.countDistinct("_part").alias("_parts"))
+    split = sums.join(sizes.where("_parts > 1").select("_key"), "_key", "left_semi")
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = split.select("_part", "_key", F.sum("_sum").over(before).alias("_before"))
+    inside = (Window.partitionBy("_part", "_key").orderBy("_row")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # At most as many rows as there are borders between parts.
+    ranked = (placed.withColumn("_upto", F.sum("_count").over(inside))
+              .join(F.broadcast(offsets), ["_part", "_key"], "left")
+              .withColumn("_upto", F.col("_upto") + F.coalesce("_before", F.lit(0)))
+              .join(sizes.select("_key", "_n"), "_key"))
+    picks = []
     for name, prob in probs.items():
         at = F.lit(prob) * (F.col("_n") - 1)
         for side, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            wanted.append(F.struct(F.lit(f"{name}_{side}").alias("slot"),
-                                   (F.col("_first") + place).alias("_rank")))
-    targets = groups.select(*keys, "_n", F.inline(F.array(*wanted)))
-    picked = targets.join(ranked.select("_rank", F.col(value).alias("_value")), "_rank")
-    ends = picked.groupBy(*keys, "_n").agg(*[
-        F.max(F.when(F.col("slot") == f"{name}_{side}", F.col("_value"))).alias(f"{name}_{side}")
-        for name in probs for side in ("lo", "hi")])
+            here = (place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_count"))
+            picks.append(F.max(F.when(here, F.col("_value"))).alias(f"{name}_{side}"))
+    ends = ranked.groupBy(*[F.col(quoted(k)) for k in keys], "_n").agg(*picks)
     result = []
     for name, prob in probs.items():
         at = F.lit(prob) * (F.col("_n") - 1)
@@ -89,9 +103,8 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     return ends.select(*keys, *result)
 
 
-# Up to this many rows per group Spark itself cuts groups down before the shuffle (the default of
-# spark.sql.optimizer.windowGroupLimitThreshold).
-GROUP_LIMIT = 1000
+# Up to this many rows per group Spark itself cuts groups down before the shuffle.
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 SALTS = 64
 
 
@@ -103,7 +116,7 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column
     the shuffle, so a hot group shrinks before it meets in one task. For an ``n`` beyond Spark's
     limit for that, the groups are first cut down in salted parts.
     """
-    if n > GROUP_LIMIT:
+    if n > int(df.sparkSession.conf.get(GROUP_LIMIT)):
         salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
         part = Window.partitionBy(*keys, "_salt").orderBy(*order_by)
         df = (df.withColumn("_salt", salt).withColumn("_part_rank", F.row_number().over(part))

@@ -73,4 +73,9 @@ def running_sum(df: DataFrame, keys: Sequence[str], time: str, tie: str, value:
     carry = F.when(F.col("_first_key").eqNullSafe(F.col("_key")), F.col("_carry"))
     return (placed.withColumn("_inside", F.sum("_value").over(inside))
             .join(F.broadcast(carried), "_part")
-            .select(*df.columns, (F.col("_inside") + F.coalesce(carry, F.lit(0))).alias(out)))
+            .select(*df.columns, _total(F.col("_inside"), carry).alias(out)))
+
+
+def _total(a: Column, b: Column) -> Column:
+    """The sum of what is there; null only if both are, as in a window's sum."""
+    return F.coalesce(a + b, a, b)

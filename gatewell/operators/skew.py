@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, functions as F
 from gatewell.functions import quoted
 
 MIN_SHARE = 0.01
-# Rows of the other side that may be broadcast for the heavy keys.
+# Rows and bytes of the other side that may be broadcast for the heavy keys.
 BROADCAST_ROWS = 10_000
+BROADCAST_BYTES = 32 << 20
 SALTS = 32
 
 
@@ -55,9 +56,14 @@ def skew_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
     Rows with a heavy key meet a broadcast of the few matching rows of ``small``; if those are more
     than ``BROADCAST_ROWS``, the rows are salted instead. All other rows take an ordinary shuffle
     join. Rows without a key cannot match, so a left join passes them on without a shuffle.
+
+    Columns of ``small`` whose name ``big`` has too come out as ``right_<name>``, whichever route
+    the rows take.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type: {how}")
+    new_names = distinct_names(big.columns, small.columns)
+    small, small_key = small.withColumnsRenamed(new_names), new_names.get(small_key, small_key)
     left_key, right_key = F.col(quoted(big_key)), F.col(quoted(small_key))
     present = big.where(left_key.isNotNull())
     hot = hot_keys(big, big_key, min_share)
@@ -68,7 +74,7 @@ def skew_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
     if hot:
         hot_small = small.where(right_key.isin(hot))
         hot_big = present.where(left_key.isin(hot))
-        if hot_small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        if _is_small(hot_small):
             hot_part = joined(hot_big, F.broadcast(hot_small))
         else:
             hot_part = _salted(hot_big, hot_small, big_key, small_key, how)
@@ -82,6 +88,26 @@ def skew_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
     return result
 
 
+def distinct_names(left: Sequence[str], right: Sequence[str]) -> dict[str, str]:
+    """New names for the columns on the right that clash with one on the left."""
+    taken = {c.lower() for c in [*left, *right]}
+    names = {}
+    for name in right:
+        if name.lower() in {c.lower() for c in left}:
+            new = f"right_{name}"
+            while new.lower() in taken:
+                new = f"right_{new}"
+            taken.add(new.lower())
+            names[name] = new
+    return names
+
+
+def _is_small(df: DataFrame) -> bool:
+    size = F.sum(F.length(F.to_json(F.struct(*[F.col(quoted(c)) for c in df.columns]))))
+    row = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), size.alias("bytes")).first()
+    return row["n"] <= BROADCAST_ROWS and (row["bytes"] or 0) <= BROADCAST_BYTES
+
+
 def _salted(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
             how: str) -> DataFrame:
     """Spread every key of ``left`` over salts and repeat ``right`` once per salt."""

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Observation, functions as F
 from pyspark.errors import AnalysisException
 
 from gatewell.functions import quoted, text_number
-from gatewell.operators.ranking import global_rank, top_per_group
-from gatewell.operators.skew import skew_join
+from gatewell.operators.ranking import global_rank, ntile_of, top_per_group
+from gatewell.operators.skew import distinct_names, skew_join
 
 Step = Mapping[str, Any]
 
@@ -71,11 +71,14 @@ def dedupe_latest(df: DataFrame, step: Step, inputs: Mapping[str, DataFrame]) ->
 
 def join(df: DataFrame, step: Step, inputs: Mapping[str, DataFrame]) -> DataFrame:
     """Heavy keys are looked for in the rows so far, which reads them once more; a step that is
-    costly to repeat and known to be even can say ``"skew_safe": False``."""
+    costly to repeat and known to be even can say ``"skew_safe": False``. Columns of the other
+    table whose name is taken come out as ``right_<name>``."""
     other, how = inputs[step["table"]], step.get("how", "inner")
     left, right = step["left_key"], step["right_key"]
     if step.get("skew_safe", True):
         return skew_join(df, other, left, right, how)
+    names = distinct_names(df.columns, other.columns)
+    other, right = other.withColumnsRenamed(names), names.get(right, right)
     return df.join(other, df[quoted(left)] == other[quoted(right)], how)
 
 
@@ -85,13 +88,19 @@ def aggregate(df: DataFrame, step: Step, inputs: Mapping[str, DataFrame]) -> Dat
 
 
 def rank_segment(df: DataFrame, step: Step, inputs: Mapping[str, DataFrame]) -> DataFrame:
-    """Label rows by their share from the top: the first label whose limit they are within."""
+    """Label rows by their share from the top: the first label whose limit they are within.
+
+    ``rank_as`` also keeps the place itself, ``tiles`` (name to number) adds tiles of equal size.
+    """
     ranked = global_rank(df, _order(step["order_by"]), "_rank", total="_total")
     label = F.lit(None).cast("string")
     for name, limit in reversed(list(step["segments"].items())):
         label = F.when(F.col("_rank") <= F.ceil(F.lit(limit) * F.col("_total")),
                        F.lit(name)).otherwise(label)
-    return ranked.select(*df.columns, label.alias(step.get("as", "segment")))
+    extra = [F.col("_rank").alias(step["rank_as"])] if "rank_as" in step else []
+    extra += [ntile_of(F.col("_rank"), F.col("_total"), n).alias(name)
+              for name, n in step.get("tiles", {}).items()]
+    return ranked.select(*df.columns, *extra, label.alias(step.get("as", "segment")))
 
 
 def sql(df: DataFrame, step: Step, inputs: Mapping[str, DataFrame]) -> DataFrame:

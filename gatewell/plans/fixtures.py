@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gatewell.session import load
+from gatewell.session import fresh_table, load
 
 # Orders with nulls: no priority where none was specified, no customer on urgent open orders.
 ORDERS_WITH_NULLS = """
@@ -52,12 +52,16 @@ def changed_orders(spark: SparkSession, folder: str) -> DataFrame:
     return kept.unionByName(added)
 
 
-# Customers without one market segment, which leaves orders without a parent.
-FEWER_CUSTOMERS = "SELECT * FROM customer WHERE c_mktsegment <> 'MACHINERY'"
+# Customers of one market segment under new keys, which leaves their orders without a parent.
+RENUMBERED_CUSTOMERS = """
+    SELECT CASE WHEN c_mktsegment = 'MACHINERY' THEN -c_custkey ELSE c_custkey END AS c_custkey,
+           c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"""
 
 
-def fewer_customers(spark: SparkSession, folder: str) -> DataFrame:
-    return load(spark, folder, "customer").where(F.col("c_mktsegment") != "MACHINERY")
+def renumbered_customers(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.col("c_custkey")
+    return load(spark, folder, "customer").withColumn(
+        "c_custkey", F.when(F.col("c_mktsegment") == "MACHINERY", -key).otherwise(key))
 
 
 # Events as raw text rows: the value of an error is not a number, types come untidy.
@@ -114,3 +118,10 @@ def stage_log(spark: SparkSession, folder: str) -> DataFrame:
     return load(spark, folder, "events").select(
         "event_id", "ts", F.col("user_id").alias("pipeline_id"),
         _mapped("event_type", STAGE_OF_EVENT).alias("stage"))
+
+
+def source_table(spark: SparkSession, folder: str, name: str) -> str:
+    """The catalog name of a fixture table; its files stay where they are."""
+    table = fresh_table(spark, name)
+    spark.catalog.createTable(table, path=f"{folder}/{name}.parquet", source="parquet")
+    return f"spark_catalog.{table}"

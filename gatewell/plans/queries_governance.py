@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gatewell.functions.detectors import DETECTORS, REPLACEMENTS
 from gatewell.governance.approvals import current_state, episodes
 from gatewell.governance.audit import append_audit, read_audit
-from gatewell.governance.lineage import edge_summary, run_edges, upstream
-from gatewell.governance.pii import mask_columns, tag_tables
+from gatewell.governance.lineage import column_edges, edge_summary, run_edges, upstream
+from gatewell.governance.pii import (
+    create_masked_view, mask_columns, rules_from_tags, tag_tables,
+)
 from gatewell.governance.stages import STAGES, latest_stage, stage_reach, time_in_stage
-from gatewell.plans.fixtures import APPROVAL_LOG, STAGE_LOG, approval_log, stage_log
+from gatewell.plans.fixtures import (
+    APPROVAL_LOG, STAGE_LOG, approval_log, source_table, stage_log,
+)
 from gatewell.plans.registry import query
-from gatewell.session import load, scratch_path
+from gatewell.session import fresh_table, load, scratch_path
 
-TEXT_COLUMNS = {"documents": ("text", "lang", "source"), "customer": ("c_name", "c_mktsegment"),
-                "pages": ("url", "html"), "conversations": ("role", "text")}
+# Every text column of every table.
+TEXT_COLUMNS = {
+    "region": ("r_name",), "nation": ("n_name",), "customer": ("c_name", "c_mktsegment"),
+    "supplier": ("s_name",), "part": ("p_name", "p_brand", "p_type"),
+    "orders": ("o_orderstatus", "o_orderpriority"), "lineitem": ("l_returnflag", "l_linestatus"),
+    "events": ("event_type", "props"), "documents": ("text", "lang", "source"),
+    "pages": ("url", "html"), "benchmark": ("text",), "conversations": ("role", "text")}
 
 
 def _rate_sql(table: str, column: str, detector: str) -> str:
@@ -42,8 +53,33 @@ def _masked_sql(column: str) -> str:
     SELECT sha256(CAST(doc_id AS VARCHAR)) AS doc_id, {_masked_sql("text")} AS text, lang
     FROM documents""")
 def masked_documents(spark: SparkSession, folder: str) -> DataFrame:
-    docs = load(spark, folder, "documents").select("doc_id", "text", "lang")
-    return mask_columns(docs, {"doc_id": "hash", "text": "redact"})
+    """Columns are tagged, the tags become rules, the rules a view, and readers use the view."""
+    table = source_table(spark, folder, "documents")
+    tags = tag_tables({table: spark.table(table).select("text", "lang")})
+    rules = {"doc_id": "hash", **rules_from_tags(tags, table)}
+    view = fresh_table(spark, "masked_documents")
+    create_masked_view(spark, view, table, rules)
+    return spark.table(view).select("doc_id", "text", "lang")
+
+
+@query("column_lineage", """
+    SELECT * FROM (VALUES ('customer', 'c_mktsegment', 'c_mktsegment'),
+      ('orders', 'o_totalprice', 'revenue'), ('orders', 'o_orderkey', 'n'),
+      ('orders', 'o_totalprice', 'label'), ('customer', 'c_mktsegment', 'label'))
+      AS t(src, src_col, dst_col)
+    WHERE (SELECT count(*) FROM orders) > 0""")
+def column_lineage(spark: SparkSession, folder: str) -> DataFrame:
+    """Which source columns each column of a declared build comes from, told by the schemas."""
+    inputs = {t: load(spark, folder, t) for t in ("orders", "customer")}
+    steps = [
+        {"op": "join", "table": "customer", "left_key": "o_custkey", "right_key": "c_custkey",
+         "skew_safe": False},
+        {"op": "aggregate", "keys": ["c_mktsegment"],
+         "measures": {"revenue": "sum(o_totalprice)", "n": "count(o_orderkey)"}},
+        {"op": "rank_segment", "order_by": ["-revenue", "c_mktsegment"], "as": "label",
+         "segments": {"top": 0.2, "rest": 1.0}}]
+    edges = column_edges(inputs, steps, "mart", "run", datetime.datetime(2024, 1, 31))
+    return edges.select("src", "src_col", "dst_col")
 
 
 @query("masked_view_customer", """
@@ -87,7 +123,8 @@ DESCENT = """
 @query("lineage_upstream", f"""
     WITH RECURSIVE edges AS ({DESCENT}),
     up(node, ancestor, distance) AS (
-      SELECT dst, src, CAST(1 AS BIGINT) FROM edges
+      SELECT dst, src, CAST(1 AS BIGINT) FROM edges WHERE dst LIKE 'supplier:%'
+         OR dst IN (SELECT 'order:' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')
       UNION ALL
       SELECT up.node, edges.src, up.distance + 1 FROM up JOIN edges ON up.ancestor = edges.dst
       WHERE up.distance < 20)
@@ -102,7 +139,12 @@ def lineage_upstream(spark: SparkSession, folder: str) -> DataFrame:
                .unionByName(edges("customer", "nation", "c_nationkey", "customer", "c_custkey"))
                .unionByName(edges("supplier", "nation", "s_nationkey", "supplier", "s_suppkey"))
                .unionByName(edges("orders", "customer", "o_custkey", "order", "o_orderkey")))
-    return upstream(descent)
+    # Asked for: where suppliers and urgent orders come from.
+    starts = (load(spark, folder, "supplier")
+              .select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("node"))
+              .unionByName(load(spark, folder, "orders").where("o_orderpriority = '1-URGENT'").select(
+                  F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("node"))))
+    return upstream(descent, starts)
 
 
 @query("audit_append", """

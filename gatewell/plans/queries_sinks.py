@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,7 +13,7 @@ from gatewell.plans.fixtures import (
 )
 from gatewell.plans.registry import query
 from gatewell.session import fresh_table, load
-from gatewell.sinks.changes import row_diff, table_diff, upsert
+from gatewell.sinks.changes import row_diff, table_diff, upsert, upsert_partitions
 from gatewell.sinks.tables import (
     append_under_contract, backfill, create_partitioned, create_table, full_refresh,
     materialize_model,
@@ -91,7 +92,7 @@ STATUS_MODEL = """
 @query("materialize_view", STATUS_MODEL.format("orders"))
 def materialize_view(spark: SparkSession, folder: str) -> DataFrame:
     """One model as a view; a table computed from that view is read back."""
-    view = "gatewell_order_status"
+    view = f"order_status_{uuid.uuid4().hex[:12]}"
     materialize_model(spark, view, STATUS_MODEL.format("{orders}"), "view",
                       orders=load(spark, folder, "orders"))
     table = fresh_table(spark, "order_status")
@@ -99,21 +100,53 @@ def materialize_view(spark: SparkSession, folder: str) -> DataFrame:
     return spark.table(table)
 
 
+# Signups have no day.
+EVENTS_BY_DAY = """
+    SELECT event_id, user_id, event_type, value,
+           CASE WHEN event_type <> 'signup' THEN CAST(ts AS DATE) END AS day FROM events"""
+
+
+def events_by_day(spark: SparkSession, folder: str) -> DataFrame:
+    return load(spark, folder, "events").select(
+        "event_id", "user_id", "event_type", "value",
+        F.when(F.col("event_type") != "signup", F.to_date("ts")).alias("day"))
+
+
+@query("upsert_partitions", f"""
+    SELECT event_id, user_id, event_type,
+           CASE WHEN event_type = 'signup' AND value > 50 THEN 0
+                WHEN day = DATE '2024-01-12' THEN value + 1 ELSE value END AS value, day
+    FROM ({EVENTS_BY_DAY}) e
+    UNION ALL SELECT -event_id, user_id, event_type, value, day FROM ({EVENTS_BY_DAY}) e
+    WHERE day = DATE '2024-01-12'""")
+def upserted_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    """Changed rows of one day and of no day, and new rows; all other partitions stay."""
+    table = fresh_table(spark, "events_by_day")
+    events = events_by_day(spark, folder)
+    create_partitioned(events, table, "day")
+    one_day = events.where("day = DATE '2024-01-12'")
+    changes = (one_day.withColumn("value", F.col("value") + 1)
+               .unionByName(one_day.withColumn("event_id", -F.col("event_id")))
+               .unionByName(events.where("event_type = 'signup' AND value > 50")
+                            .withColumn("value", F.lit(0.0))))
+    upsert_partitions(changes, table, ["event_id"], "day")
+    return spark.table(table)
+
+
 FIRST_DAY, LAST_DAY = datetime.date(2024, 1, 10), datetime.date(2024, 1, 14)
 
 
 @query("backfill_range", f"""
     SELECT event_id, user_id, event_type,
-           CASE WHEN CAST(ts AS DATE) BETWEEN DATE '{FIRST_DAY}' AND DATE '{LAST_DAY}'
-                THEN value + 1 ELSE value END AS value, CAST(ts AS DATE) AS day
-    FROM events
-    WHERE NOT (CAST(ts AS DATE) BETWEEN DATE '{FIRST_DAY}' AND DATE '{LAST_DAY}'
-               AND event_type = 'error')""")
+           CASE WHEN day BETWEEN DATE '{FIRST_DAY}' AND DATE '{LAST_DAY}'
+                THEN value + 1 ELSE value END AS value, day
+    FROM ({EVENTS_BY_DAY}) e
+    WHERE NOT coalesce(day BETWEEN DATE '{FIRST_DAY}' AND DATE '{LAST_DAY}'
+                       AND event_type = 'error', FALSE)""")
 def backfill_range(spark: SparkSession, folder: str) -> DataFrame:
-    """Five days are rebuilt from corrected events, twice; the other days stay."""
+    """Five days are rebuilt from corrected events, twice; the others, and rows without a day, stay."""
     table = fresh_table(spark, "events_by_day")
-    events = load(spark, folder, "events").select(
-        "event_id", "user_id", "event_type", "value", F.to_date("ts").alias("day"))
+    events = events_by_day(spark, folder)
     create_partitioned(events, table, "day")
     corrected = (events.where(F.col("event_type") != "error")
                  .withColumn("value", F.col("value") + 1))

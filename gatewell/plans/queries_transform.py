@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import contextlib
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gatewell.governance.approvals import ApprovalLog
 from gatewell.operators.cleaning import staging_clean, tag_violations
 from gatewell.operators.joins import customer_orders, lookup, orphan_keys
 from gatewell.operators.marts import (
-    customer_dim, customer_revenue, customer_value, daily_sales, segment_customers,
+    customer_dim, customer_revenue, daily_sales, segment_customers,
 )
 from gatewell.operators.steps import apply_steps, handle_nulls, step_metrics
 from gatewell.functions import money, text_number
 from gatewell.plans.fixtures import (
-    FEWER_CUSTOMERS, ORDERS_WITH_NULLS, RAW_EVENTS, fewer_customers, orders_with_nulls, raw_events,
+    ORDERS_WITH_NULLS, RAW_EVENTS, RENUMBERED_CUSTOMERS, orders_with_nulls, raw_events,
+    renumbered_customers, source_table,
 )
+from gatewell.plans.build import BuildResult, default_log, release, run_build
 from gatewell.plans.queries_sinks import CUSTOMER_REVENUE
 from gatewell.plans.registry import query
-from gatewell.session import fresh_table, load
-from gatewell.quality.suite import gate, run_suite
-from gatewell.sinks.tables import full_refresh
+from gatewell.plans.spec import Spec
+from gatewell.session import fresh_table, load, scratch_path, workspace
 
 CHAIN = (
     {"op": "select", "columns": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
@@ -168,14 +173,15 @@ def customer_orders_join(spark: SparkSession, folder: str) -> DataFrame:
 @query("relationship_check", f"""
     SELECT o_custkey AS key, count(*) AS rows FROM ({ORDERS_WITH_NULLS}) o
     WHERE o_custkey IS NOT NULL
-      AND o_custkey NOT IN (SELECT c_custkey FROM ({FEWER_CUSTOMERS}) c)
+      AND o_custkey NOT IN (SELECT c_custkey FROM ({RENUMBERED_CUSTOMERS}) c)
     GROUP BY o_custkey""")
 def relationship_check(spark: SparkSession, folder: str) -> DataFrame:
-    return orphan_keys(orders_with_nulls(spark, folder), fewer_customers(spark, folder),
+    return orphan_keys(orders_with_nulls(spark, folder), renumbered_customers(spark, folder),
                        "o_custkey", "c_custkey")
 
 
-CUSTOMER_SK = "sha256('customer|' || CAST(c_custkey AS VARCHAR))"
+CUSTOMER_SK = ("sha256('8:customer|' || length(CAST(c_custkey AS VARCHAR)) || ':' "
+               "|| CAST(c_custkey AS VARCHAR))")
 CUSTOMER_DIM = f"""
     SELECT {CUSTOMER_SK} AS customer_sk, c_custkey, c_name, c_mktsegment,
            coalesce(n_name, 'unknown') AS nation, coalesce(r_name, 'unknown') AS region
@@ -189,7 +195,7 @@ def dim_build(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("star_fact_lookup", f"""
-    WITH c AS ({FEWER_CUSTOMERS}), o AS ({ORDERS_WITH_NULLS})
+    WITH c AS ({RENUMBERED_CUSTOMERS}), o AS ({ORDERS_WITH_NULLS})
     SELECT l_orderkey, l_linenumber, l_partkey, coalesce(o.o_orderkey, -1) AS order_key,
            coalesce(c.c_custkey, -1) AS customer_key, coalesce(n_nationkey, -1) AS nation_key,
            coalesce(n_regionkey, -1) AS region_key,
@@ -201,7 +207,7 @@ def star_fact_lookup(spark: SparkSession, folder: str) -> DataFrame:
 
     The dimensions are resolved per order first; the lines then need one join.
     """
-    customers = fewer_customers(spark, folder).join(
+    customers = renumbered_customers(spark, folder).join(
         load(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select(
         "c_custkey", F.struct("c_custkey", F.coalesce("n_nationkey", F.lit(-1)).alias("nation"),
                               F.coalesce("n_regionkey", F.lit(-1)).alias("region")).alias("member"))
@@ -260,6 +266,7 @@ def daily_sales_mart(spark: SparkSession, folder: str) -> DataFrame:
     return daily_sales(load(spark, folder, "lineitem"))
 
 
+BUILD_TIME = datetime.datetime(2024, 1, 31)
 MART_CHECKS = (
     {"name": "has_rows", "type": "row_count", "min_rows": 1},
     {"name": "keys_present", "type": "null_check", "columns": ["c_custkey", "revenue"]},
@@ -274,13 +281,55 @@ MART_CHECKS = (
     SELECT c_custkey, c_name, c_mktsegment, n_orders, revenue, avg_order_value, last_order,
            revenue_rank, decile, segment FROM ({CUSTOMER_SEGMENTS}) s""")
 def flagship_mart(spark: SparkSession, folder: str) -> DataFrame:
-    """Read customers and orders, join, compute revenue, segment, check, write, read back.
-
-    The ranked mart is stored by the ranking step, so the checks and the write read it without
-    computing it again.
-    """
-    mart = customer_value(load(spark, folder, "customer"), load(spark, folder, "orders"))
-    gate(run_suite(mart, MART_CHECKS))
-    table = fresh_table(spark, "customer_value")
-    full_refresh(mart, table)
-    return spark.table(table)
+    """A declared build: customers and orders to revenue and segments, checked, shown, read back."""
+    orders, customer = (source_table(spark, folder, t) for t in ("orders", "customer"))
+    target = fresh_table(spark, "customer_value")
+    spec = Spec.of({
+        "name": "customer_value", "source_tables": [orders, customer], "target_table": target,
+        "transformations": [
+            {"op": "aggregate", "keys": ["o_custkey"], "measures": {
+                "n_orders": "count(*)", "total": "sum(cast(o_totalprice as decimal(18,2)))",
+                "last_order": "max(o_orderdate)"}},
+            {"op": "join", "table": customer, "left_key": "o_custkey", "right_key": "c_custkey"},
+            {"op": "derive", "columns": {
+                "revenue": "cast(total as double)",
+                "avg_order_value": "cast(total as double) / n_orders"}},
+            {"op": "rank_segment", "order_by": ["-revenue", "c_custkey"], "rank_as": "revenue_rank",
+             "tiles": {"decile": 10}, "segments": {"high": 0.1, "mid": 0.5, "low": 1.0}},
+            {"op": "select", "columns": [
+                "c_custkey", "c_name", "c_mktsegment", "n_orders", "revenue", "avg_order_value",
+                "last_order", "revenue_rank", "decile", "segment"]}],
+        "quality_checks": MART_CHECKS})
+    log = default_log(workspace(spark), scratch_path(spark, "build-log"))
+    run_build(spark, spec, f"run-{target}", BUILD_TIME, log)
+    return spark.table(target)
+
+
+@query("approved_build", """
+    SELECT o_orderpriority, count(*) AS n_orders,
+           CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
+    FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderpriority""")
+def approved_build(spark: SparkSession, folder: str) -> DataFrame:
+    """Two builds of one target wait at the same time; the first is approved, the other rejected."""
+    orders, target = source_table(spark, folder, "orders"), fresh_table(spark, "by_priority")
+    log = default_log(workspace(spark), scratch_path(spark, "build-log"))
+    approvals = ApprovalLog(spark, log.approvals_path)
+
+    def staged(status: str) -> tuple[Spec, BuildResult]:
+        spec = Spec.of({
+            "name": "by_priority", "source_tables": [orders], "target_table": target,
+            "transformations": [
+                {"op": "filter", "predicate": f"o_orderstatus = '{status}'"},
+                {"op": "aggregate", "keys": ["o_orderpriority"], "measures": {
+                    "n_orders": "count(*)",
+                    "total": "cast(sum(cast(o_totalprice as decimal(18,2))) as double)"}}]})
+        return spec, run_build(spark, spec, f"{target}-{status}", BUILD_TIME, log,
+                               require_approval=True)
+
+    finished, open_orders = staged("F"), staged("O")
+    approvals.approve(finished[1].approval_id, "owner", BUILD_TIME)
+    approvals.reject(open_orders[1].approval_id, "owner", BUILD_TIME, "not yet")
+    with contextlib.suppress(PermissionError):
+        release(spark, *open_orders, f"{target}-O", BUILD_TIME, log)
+    release(spark, *finished, f"{target}-F", BUILD_TIME, log)
+    return spark.table(target)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -144,11 +145,14 @@ def expectation(check: Check, df: DataFrame, ctx: Context) -> Measured:
 
 
 def accepted_values(check: Check, df: DataFrame, ctx: Context) -> Measured:
-    """Values outside the allowed set; null is left to the null checks."""
+    """Rows with a value outside the allowed set in any of the columns; null is left to the null
+    checks."""
     _needs(check, "columns", "values")
-    value = F.col(quoted(check.columns[0]))
-    outside = F.count_if(value.isNotNull() & ~value.isin(*check.values))
-    return Measured({"outside": outside}, lambda m: Verdict(
+    wrong = F.lit(False)
+    for name in check.columns:
+        value = F.col(quoted(name))
+        wrong = wrong | (value.isNotNull() & ~value.isin(*check.values))
+    return Measured({"outside": F.count_if(wrong)}, lambda m: Verdict(
         m("outside") == 0, m("outside"), _number(0), {"rows_outside": m("outside")}))
 
 
@@ -181,14 +185,28 @@ def comparable(df: DataFrame) -> DataFrame:
             return has_map(kind.elementType)
         return isinstance(kind, T.StructType) and any(has_map(f.dataType) for f in kind)
 
+    def plain(value: Column, kind: T.DataType) -> Column:
+        """Maps, at any depth, as sorted lists of entries: their order carries no meaning."""
+        if not has_map(kind):
+            return value
+        if isinstance(kind, T.MapType):
+            entries = F.transform(F.map_entries(value), lambda e: F.to_json(F.struct(
+                plain(e["key"], kind.keyType).alias("k"),
+                plain(e["value"], kind.valueType).alias("v")), EXACT_JSON))
+            return F.when(value.isNotNull(), F.array_sort(entries))
+        if isinstance(kind, T.ArrayType):
+            return F.transform(value, lambda x: plain(x, kind.elementType))
+        if isinstance(kind, T.StructType):
+            return F.when(value.isNotNull(), F.struct(*[
+                plain(value[f.name], f.dataType).alias(f.name) for f in kind]))
+        return F.to_json(value, EXACT_JSON)  # a variant
+
     def as_key(field: T.StructField) -> Column:
         value = F.col(quoted(field.name))
         if not has_map(field.dataType):
             return value
-        if isinstance(field.dataType, T.MapType):  # entry order carries no meaning
-            return F.when(value.isNotNull(), F.to_json(
-                F.array_sort(F.map_entries(value)), EXACT_JSON))
-        return F.to_json(value, EXACT_JSON)
+        return F.when(value.isNotNull(), F.to_json(F.struct(
+            plain(value, field.dataType).alias("v")), EXACT_JSON))
 
     return df.select(*[as_key(f).alias(f.name) for f in df.schema.fields])
 
@@ -216,7 +234,7 @@ def duplicate_rows(check: Check, df: DataFrame, ctx: Context) -> tuple[DataFrame
     if check.columns:
         df = df.select(*[F.col(quoted(c)) for c in check.columns])
     extra = F.col("duplicate_rows")
-    return duplicate_count(df), Verdict(extra == 0, extra, _number(0), {
+    return duplicate_count(df, wide=True), Verdict(extra == 0, extra, _number(0), {
         "total_rows": F.col("total_rows"), "duplicate_rows": extra})
 
 
@@ -233,8 +251,11 @@ def relationship(check: Check, df: DataFrame, ctx: Context) -> tuple[DataFrame,
     parent = (ctx.parents or {}).get(check.parent)
     if parent is None:
         raise ValueError(f"relationship parent not given: {check.parent}")
-    found = orphan_keys(df, parent, check.columns[0], check.parent_column).agg(
-        F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+    # Each column refers to the parent's column by itself.
+    orphans = reduce(DataFrame.unionAll, [
+        orphan_keys(df, parent, c, check.parent_column).select("rows") for c in check.columns])
+    found = orphans.agg(F.count(F.lit(1)).alias("keys"),
+                        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
     return found, Verdict(F.col("rows") == 0, F.col("rows"), _number(0), {
         "orphan_keys": F.col("keys"), "orphan_rows": F.col("rows")})
 

@@ -58,9 +58,15 @@ def failing_rows(df: DataFrame, rules: Mapping[str, Column], order_by: list[str]
 def row_count_anomalies(df: DataFrame, time: str, days: int = 7, factor: float = 3.0) -> DataFrame:
     """Daily row counts against the mean and spread of the days before.
 
-    The window runs over one row per day, not over the data.
+    A day without rows between the first and the last one has a line with the count 0. Rows
+    without a time belong to no day. The window runs over one row per day, not over the data.
     """
-    daily = df.groupBy(F.to_date(time).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    counted = (df.where(F.col(quoted(time)).isNotNull())
+               .groupBy(F.to_date(quoted(time)).alias("day")).agg(F.count(F.lit(1)).alias("n")))
+    days_between = counted.agg(F.min("day").alias("a"), F.max("day").alias("b")).where(
+        "a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias("day"))
+    daily = days_between.join(counted, "day", "left").select(
+        "day", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
     before = Window.orderBy("day").rowsBetween(-days, -1)
     history = daily.select(
         "day", "n", F.count("n").over(before).alias("h"), F.sum("n").over(before).alias("s"),

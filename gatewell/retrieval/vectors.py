@@ -24,26 +24,30 @@ def centroids(vectors: DataFrame, group: str, vector: str, dims: int) -> DataFra
 
 
 def _scoring(key: str, k: int):
-    """(list column to unit rows, k best rows per query). Nested, so that tasks receive the code
-    itself and need no copy of this package."""
+    """(list column to unit rows, k best rows per query, both over batches). Nested, so that tasks
+    receive the code itself and need no copy of this package."""
 
     def unit_rows(column: pa.Array, rows: int) -> np.ndarray:
         flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         matrix = flat.reshape(rows, -1)
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+        with np.errstate(invalid="ignore", over="ignore"):
+            norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+            return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
     def best(ids: pa.Array, queries: np.ndarray, keys: pa.Array,
              vectors: np.ndarray) -> pa.RecordBatch:
-        similar = np.round(vectors @ queries.T, 6)
+        with np.errstate(invalid="ignore"):
+            similar = np.round(vectors @ queries.T, 6)
+        usable = np.isfinite(vectors).all(axis=1)
+        similar[~usable] = -np.inf  # no score; such rows are left out below
         names = keys.to_numpy(zero_copy_only=False)
         number, row = [], []
         for q in range(similar.shape[1]):
             score = similar[:, q]
-            rows = np.arange(len(score))
-            if len(score) > k:  # all rows as good as the k-th; ties are settled by the key
+            rows = np.flatnonzero(usable)
+            if len(rows) > k:  # all rows as good as the k-th; ties are settled by the key
                 rows = np.flatnonzero(
-                    score >= np.partition(score, len(score) - k)[len(score) - k])
+                    usable & (score >= np.partition(score, len(score) - k)[len(score) - k]))
             rows = rows[np.lexsort((names[rows], -score[rows]))[:k]]
             number.append(np.full(len(rows), q))
             row.append(rows)
@@ -52,21 +56,37 @@ def _scoring(key: str, k: int):
             [ids.take(pa.array(number)), keys.take(pa.array(row)),
              pa.array(similar[row, number])], names=["query_id", key, "similarity"])
 
-    return unit_rows, best
+    def running(found: pa.RecordBatch | None, new: pa.RecordBatch) -> pa.RecordBatch:
+        """The k best per query of two lists."""
+        if found is None:
+            return new
+        both = pa.Table.from_batches([found, new]).combine_chunks().to_batches()
+        if not both:
+            return new
+        both = both[0]
+        order = both.to_pandas().assign(place=np.arange(both.num_rows)).sort_values(
+            ["query_id", "similarity", key], ascending=[True, False, True])
+        kept = order[order.groupby("query_id", dropna=False).cumcount() < k]
+        return both.take(pa.array(kept["place"].to_numpy()))
+
+    return unit_rows, best, running
 
 
 def _few_queries(source: DataFrame, key: str, listed: pa.Table, k: int, schema: str) -> DataFrame:
     """All queries travel with the task: at most ``QUERY_BLOCK`` of them, checked by the caller."""
     listed = listed.combine_chunks()
     ids = listed.column("query_id").combine_chunks()
-    unit_rows, best = _scoring(key, k)
+    unit_rows, best, running = _scoring(key, k)
     wanted = unit_rows(listed.column("query").combine_chunks(), len(ids))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = None
         for batch in batches:
             if batch.num_rows:
-                yield best(ids, wanted, batch.column(0),
-                           unit_rows(batch.column(1), batch.num_rows))
+                found = running(found, best(ids, wanted, batch.column(0),
+                                            unit_rows(batch.column(1), batch.num_rows)))
+        if found is not None:
+            yield found
 
     return source.mapInArrow(score, schema)
 
@@ -81,7 +101,7 @@ def _many_queries(source: DataFrame, key: str, vector: str, queries: DataFrame,
     asked = (queries.withColumn("_c", F.pmod(F.xxhash64("query_id"), F.lit(columns)))
              .withColumn("_r", F.explode(F.expr(f"sequence(0L, {rows - 1}L)"))))
 
-    unit_rows, best = _scoring(key, k)
+    unit_rows, best, _ = _scoring(key, k)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -104,11 +124,17 @@ def vector_topk(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k
     """The k most similar vectors for every query vector (``query_id``, ``query``), exactly.
 
     Similarities come from matrix products inside the tasks, and each task passes on k candidates
-    per query and batch. A set of queries that fits one block is sent to every task; a larger one
+    per query, however many batches it reads. Vectors of another length than the queries, with a
+    null inside or with a value that is not finite have no similarity and are left out; queries of
+    different lengths are an error. A set of queries that fits one block is sent to every task; a larger one
     is cut into blocks and shuffled to meet the vectors. ``key`` must be unique.
     """
-    source = vectors.where(F.col(vector).isNotNull()).select(key, vector)
-    queries = queries.select("query_id", "query")
+    queries = queries.select("query_id", "query").where(F.col("query").isNotNull())
+    length = queries.agg(F.min(F.size("query")).alias("a"), F.max(F.size("query")).alias("b")).first()
+    if length["a"] != length["b"]:
+        raise ValueError(f"queries of {length['a']} to {length['b']} values")
+    whole = ~F.exists(vector, lambda x: x.isNull())
+    source = vectors.where((F.size(vector) == F.lit(length["a"])) & whole).select(key, vector)
     types = {**dict(source.dtypes), **dict(queries.dtypes)}
     schema = f"query_id {types['query_id']}, `{key}` {types[key]}, similarity double"
     listed = queries.limit(QUERY_BLOCK + 1).toArrow()

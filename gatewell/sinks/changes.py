@@ -17,23 +17,36 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
     """The target after new keys are inserted and known keys replaced.
 
     With ``order_by`` only the first source row per key counts; without it source keys must be
-    unique. Write the result as a new version: files cannot be overwritten while they are read.
+    unique. Nulls in keys are equal to each other here, so a row with a null key replaces the one
+    before it. Write the result as a new version: files cannot be overwritten while they are read.
     """
     if order_by:
         source = top_per_group(source, keys, order_by, 1, "_rank").drop("_rank")
-    return target.join(source, list(keys), "left_anti").select(*target.columns).unionByName(source)
+    known = source.select(*[F.col(quoted(k)).alias(f"_key{n}") for n, k in enumerate(keys)])
+    same = reduce(lambda a, b: a & b, [
+        F.col(quoted(k)).eqNullSafe(F.col(f"_key{n}")) for n, k in enumerate(keys)])
+    return target.join(known, same, "left_anti").unionByName(source)
 
 
 def upsert_partitions(source: DataFrame, table: str, keys: Sequence[str], partition_by: str,
                       order_by: Sequence[Column] | None = None) -> None:
     """Upsert into a partitioned table by rewriting only the partitions the source touches.
 
-    The partition of a key must not change. The list of touched partitions is the only thing that
-    reaches the driver.
+    The partition of a key must not change: that is checked, and nothing is written if one did.
+    Touched partitions are found by a null-safe semi-join, so rows without a partition value are
+    kept like all others and no list of values reaches the driver.
     """
     target = source.sparkSession.table(table)
-    touched = [row[0] for row in source.select(partition_by).distinct().collect()]
-    affected = target.where(F.col(quoted(partition_by)).isin(touched))
+    touched = source.select(F.col(quoted(partition_by)).alias("_touched")).distinct()
+    affected = target.join(touched, F.col(quoted(partition_by)).eqNullSafe(F.col("_touched")),
+                           "left_semi")
+    elsewhere = target.select(*[F.col(quoted(k)).alias(f"_key{n}") for n, k in enumerate(keys)],
+                              F.col(quoted(partition_by)).alias("_at"))
+    moved = reduce(lambda a, b: a & b, [
+        F.col(quoted(k)).eqNullSafe(F.col(f"_key{n}")) for n, k in enumerate(keys)]
+        + [~F.col(quoted(partition_by)).eqNullSafe(F.col("_at"))])
+    if not source.join(elsewhere, moved, "left_semi").isEmpty():
+        raise ValueError(f"a key of the source is in another partition of {table}")
     overwrite_partitions(upsert(affected, source.select(*target.columns), keys, order_by), table,
                          partition_by)
 

@@ -9,9 +9,14 @@ from typing import Any
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from gatewell.functions import quoted
+from gatewell.session import scratch_path
 from gatewell.sources.contract import split_by_contract
 
 
+# How a partition of rows without a value is called (a fixed value of the table format).
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+
+
 def full_refresh(df: DataFrame, table: str, fmt: str = "parquet") -> int:
     """Replace a table and its schema; returns the rows written, counted during the write."""
     counted = Observation()
@@ -82,15 +87,19 @@ def create_partitioned(df: DataFrame, table: str, partition_by: str) -> None:
 
 
 def overwrite_partitions(df: DataFrame, table: str, partition_by: str) -> None:
-    """Replace the partitions that occur in the frame and leave all others."""
+    """Replace the partitions that occur in the frame and leave all others.
+
+    ``insertInto`` takes the mode from the session only, so the statement runs in a session of its
+    own, which shares catalog and data but not settings: other threads see no change.
+    """
     spark = df.sparkSession
-    setting = "spark.sql.sources.partitionOverwriteMode"
-    previous = spark.conf.get(setting)
-    try:
-        spark.conf.set(setting, "dynamic")
-        df.hint("rebalance", partition_by).write.mode("overwrite").insertInto(table)
-    finally:
-        spark.conf.set(setting, previous)
+    path = scratch_path(spark, "partitions")
+    df.hint("rebalance", partition_by).write.parquet(path)
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    (own.read.schema(df.schema).parquet(path).hint("rebalance", partition_by)
+     .write.mode("overwrite").insertInto(table))
+    spark.catalog.refreshTable(table)
 
 
 def backfill(df: DataFrame, table: str, day_column: str, start: datetime.date,
@@ -103,7 +112,8 @@ def backfill(df: DataFrame, table: str, day_column: str, start: datetime.date,
     spark = df.sparkSession
     in_range = (F.col(day_column) >= F.lit(start)) & (F.col(day_column) <= F.lit(end))
     name = ".".join(quoted(p) for p in table.split("."))
-    before = {_day(row[0]) for row in spark.sql(f"SHOW PARTITIONS {name}").collect()}
+    # One value per day partition; the partition of rows without a day is never in the range.
+    before = {_day(row[0]) for row in spark.sql(f"SHOW PARTITIONS {name}").collect()} - {None}
     columns = spark.table(table).columns
     seen = Observation()
     days = F.collect_set(F.col(day_column))  # at most one value per day of the range
@@ -116,5 +126,6 @@ def backfill(df: DataFrame, table: str, day_column: str, start: datetime.date,
                       f"({quoted(day_column)} = DATE '{day.isoformat()}')")
 
 
-def _day(partition: str) -> datetime.date:
-    return datetime.date.fromisoformat(partition.split("=", 1)[1])
+def _day(partition: str) -> datetime.date | None:
+    value = partition.split("=", 1)[1]
+    return None if value == NULL_PARTITION else datetime.date.fromisoformat(value)

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, functions as F
 
 from gatewell.functions import literal, quoted
 
 
-def new_rows(source: DataFrame, target: DataFrame, time: str, key: str) -> DataFrame:
+def new_rows(source: DataFrame, target: DataFrame, time: str, key: str,
+             look_back: datetime.timedelta = datetime.timedelta(0)) -> DataFrame:
     """Source rows the target does not have yet, judged by its latest time.
 
     The latest time is one value and becomes a literal, so the filter reaches the file scan. Rows
-    at exactly that time may have arrived late and are compared by key. Running it again after the
-    rows are appended finds nothing.
+    from ``look_back`` before that time up to it may have arrived late and are compared by key, and
+    so are rows without a time. Running it again after the rows are appended finds nothing.
     """
     latest = target.agg(F.max(time).alias("latest")).first()["latest"]
     if latest is None:
         return source
     at = literal(latest, source.schema[time].dataType)
-    border = target.where(F.col(quoted(time)) == at).select(quoted(key))
-    return (source.where(F.col(quoted(time)) > at)
-            .unionByName(source.where(F.col(quoted(time)) == at).join(border, key, "left_anti")))
+    since = literal(latest - look_back, source.schema[time].dataType)
+    when = F.col(quoted(time))
+    unsure = (when >= since) & (when <= at) | when.isNull()
+    known = target.where(unsure).select(quoted(key))
+    return (source.where(when > at)
+            .unionByName(source.where(unsure).join(known, key, "left_anti")
+                         .select(*source.columns)))

@@ -16,6 +16,10 @@ NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.Do
 def _as_number(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, NUMERIC):
         return value.cast("double")
+    if isinstance(kind, T.BooleanType):
+        return value.cast("int").cast("double")
+    if isinstance(kind, T.DateType):  # seconds since 1970, as for times
+        return F.unix_date(value).cast("double") * F.lit(86_400.0)
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(value).cast("double") / F.lit(1_000_000.0)
     if isinstance(kind, T.TimestampNTZType):

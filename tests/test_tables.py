@@ -248,7 +248,7 @@ def sources(spark, folder):
 
 
 def test_build_publishes_and_records(spark, sources):
-    target, log = fresh_table(spark, "mart"), default_log(spark, workspace(spark))
+    target, log = fresh_table(spark, "mart"), default_log(workspace(spark), scratch_path(spark, "log"))
     spec = _spec(*sources, target, [
         {"name": "five", "type": "row_count", "min_rows": 5, "max_rows": 5},
         {"name": "key", "type": "unique", "columns": ["c_mktsegment"]}])
@@ -270,7 +270,7 @@ def test_build_publishes_and_records(spark, sources):
 
 
 def test_build_waits_for_approval(spark, sources):
-    target, log = fresh_table(spark, "mart"), default_log(spark, workspace(spark))
+    target, log = fresh_table(spark, "mart"), default_log(workspace(spark), scratch_path(spark, "log"))
     spec, approvals = _spec(*sources, target), ApprovalLog(spark, log.approvals_path)
     staged = run_build(spark, spec, "run-1", T0, log, require_approval=True)
     assert staged.version is None and not spark.catalog.tableExists(target)
@@ -294,7 +294,7 @@ def test_validate_output_by_name(spark, sources):
 
 
 def test_failed_build_leaves_target_alone(spark, sources):
-    target, log = fresh_table(spark, "mart"), default_log(spark, workspace(spark))
+    target, log = fresh_table(spark, "mart"), default_log(workspace(spark), scratch_path(spark, "log"))
     run_build(spark, _spec(*sources, target), "run-a", T0, log)
     before = rows(spark.table(target))
     bad = _spec(*sources, target, [{"name": "many", "type": "row_count", "min_rows": 1000}])
