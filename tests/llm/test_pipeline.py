@@ -51,12 +51,14 @@ def test_stages_against_brute_force(spark, folder):
         (r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in packed)
 
 
-def test_quality_stage_follows_the_labels(spark, folder):
+def test_quality_stage_follows_the_labels(spark):
+    """On 400 labels; the smallest tables have 87, with ten of some kinds, too few to learn from."""
+    folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     kept = set(texts_of(dict(corpus_pipeline.STAGES)["quality classifier"](spark, docs, folder)))
     labels = duckdb.sql(f"SELECT doc_id, quality, toxic FROM '{folder}/labels.parquet'").fetchall()
     right = sum((k in kept) == (q == 1 and t == 0) for k, q, t in labels)
-    assert right / len(labels) > 0.8
+    assert right / len(labels) > 0.93
 
 
 def test_stages_on_no_rows_and_extra_columns(spark, docs, nothing, folder):
