@@ -71,6 +71,8 @@ def _requests(order: int, parts: int):
                     names, counts = np.unique(value, return_counts=True)
                     at = _edges(names, parts)
                     full = np.flatnonzero(np.diff(at))
+                    if len(full) == 0:
+                        continue
                     offsets = pa.array(np.append(at[full], len(names)).astype(np.int32))
                     n = len(full)
                     shares = np.split(names, at[full][1:])
