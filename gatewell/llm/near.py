@@ -20,8 +20,10 @@ SHINGLE = 5
 SHARED, OF = 75, 100     # documents are linked when 100 * intersection >= 75 * union
 BANDS, ROWS = 40, 4
 REGISTERS = BANDS * ROWS
-BASE = 1.2
-LOWEST = 40              # added to a register, so that it fits in a byte
+# The closer to 1, the less often registers of unrelated sets agree by chance: at 1.02 in 1 of 200
+# cases, so a band of theirs agrees in 6 of 10**10.
+BASE = 1.02
+LOWEST = 200             # added to a register, so that it is not negative
 # An estimate this far below the threshold is off by more than six standard deviations.
 LEAST_ESTIMATE = 0.52
 # A node and a leader that share one band only are almost never similar. A linked pair shares fewer
@@ -54,7 +56,7 @@ def shingle_sets(texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """SetSketch registers, one row of bytes per set.
+    """SetSketch registers, one row per set.
 
     Every element is the source of a Poisson process of events in exponential time; an event has a
     random register. A register's minimum is the time of its first event from any element, so it
@@ -78,7 +80,7 @@ def sketches(values: np.ndarray, first: np.ndarray) -> np.ndarray:
         np.minimum.at(least, owner[alive] * REGISTERS + register.astype(np.int64), time)
     with np.errstate(divide="ignore"):
         place = np.floor(1 - np.log(least) / math.log(BASE)) + LOWEST
-    return np.clip(place, 0, 255).astype(np.uint8).reshape(n_sets, REGISTERS)
+    return np.clip(place, 0, 65535).astype("<u2").reshape(n_sets, REGISTERS)
 
 
 def estimated(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray
@@ -122,17 +124,17 @@ def _profiles(batches):
             np.cumsum(mixed(value ^ mixed(np.array([seed], np.uint64))[0]), out=total[1:])
             sums.append(pa.array(signed(total[first[1:]] - total[first[:-1]])))
         flat = np.ascontiguousarray(sketches(value, first)).tobytes()
-        n = batch.num_rows
+        n, width = batch.num_rows, 2 * REGISTERS
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), pa.array(np.diff(first)), *sums,
              pa.Array.from_buffers(pa.binary(), n, [
-                 None, pa.py_buffer(np.arange(0, n * REGISTERS + 1, REGISTERS, dtype=np.int32)),
+                 None, pa.py_buffer(np.arange(0, n * width + 1, width, dtype=np.int32)),
                  pa.py_buffer(flat)])],
             names=["id", "n", "f1", "f2", "sketch"])
 
 
 def _registers(column) -> np.ndarray:
-    return texts_of(column).data.reshape(-1, REGISTERS)
+    return np.frombuffer(texts_of(column).data.tobytes(), "<u2").reshape(-1, REGISTERS)
 
 
 def _tile_links(batches):
@@ -256,7 +258,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def _links(source: DataFrame, sets: DataFrame, tile: int) -> DataFrame:
     """Confirmed links between nodes that join the same components as all links do."""
     bands = sets.select("rep", F.explode(F.array(*[
-        F.xxhash64(F.lit(k), F.substring("sketch", ROWS * k + 1, ROWS)) for k in range(BANDS)]))
+        F.xxhash64(F.lit(k), F.substring("sketch", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)]))
         .alias("key"))
     buckets = (bands.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("other"))
                .where("leader < other").select("key", "leader"))
@@ -267,7 +269,8 @@ def _links(source: DataFrame, sets: DataFrame, tile: int) -> DataFrame:
     nodes = stars.select(F.col("u").alias("id")).unionByName(
         stars.select(F.col("v").alias("id"))).distinct()
     # One row per node, whatever repeats its id.
-    texts = materialize(source.join(nodes, "id", "left_semi").groupBy("id")
+    # Texts meet their nodes in a shuffle at every size, so that the plan does not change with it.
+    texts = materialize(source.join(nodes.hint("merge"), "id", "left_semi").groupBy("id")
                         .agg(F.min("text").alias("text")), "near-texts")
 
     best = stars.groupBy("u").agg(
