@@ -26,10 +26,6 @@ BASE = 1.02
 LOWEST = 200             # added to a register, so that it is not negative
 # An estimate this far below the threshold is off by more than six standard deviations.
 LEAST_ESTIMATE = 0.52
-# A node and a leader that share one band only are almost never similar. A linked pair shares fewer
-# than two bands with a chance below 1 in 10**6; and two linked nodes share some 14 buckets, so they
-# miss a common leader only if no leader has two of these.
-LEAST_BANDS = 2
 TILE = 1024
 TILE_SHINGLES = 1_000_000   # so that tiles of long texts have fewer of them
 _GRID = np.linspace(0.0, 1.0, 101)
@@ -224,7 +220,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
        none of the bands with a chance below 1 in 10**7.
     3. A bucket's smallest node is its leader. Each node is first compared with the leader it
        shares most bands with.
-    4. All nodes that share at least two buckets with the same leader are a group, and linked nodes
+    4. All nodes that share a bucket with the same leader are a group, so nodes that share any bucket
        are in a group together. Groups that still hold several components are compared in tiles of bounded
        size, each in one task. What agrees in a band and is likely is confirmed there, and only
        links between different components leave the task. So no link that matters is lost.
@@ -265,7 +261,7 @@ def _links(source: DataFrame, sets: DataFrame, tile: int) -> DataFrame:
     stars = materialize(
         bands.join(buckets, "key").where("rep > leader")
         .groupBy(F.col("rep").alias("u"), F.col("leader").alias("v"))
-        .agg(F.count(F.lit(1)).alias("bands")).where(F.col("bands") >= LEAST_BANDS), "near-stars")
+        .agg(F.count(F.lit(1)).alias("bands")), "near-stars")
     nodes = stars.select(F.col("u").alias("id")).unionByName(
         stars.select(F.col("v").alias("id"))).distinct()
     # One row per node, whatever repeats its id.

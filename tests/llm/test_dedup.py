@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gatewell.llm.chunks import LEAST_RUN, chunk_dedup, cut_points, gear_hashes, GEAR
 from gatewell.llm.components import components
 from gatewell.llm.exact import exact_duplicates, normalised
-from gatewell.llm.near import estimated, near_duplicates, shingle_sets, sketches
+from gatewell.llm.near import BANDS, ROWS, estimated, near_duplicates, shingle_sets, sketches
 from gatewell.llm.sorting import maybe_repeated
 from gatewell.llm.suffixes import suffix_dedup, with_equal
 from gatewell.llm.textcode import Texts, texts_of
@@ -109,6 +109,26 @@ def test_near_chain_without_a_common_neighbour(spark):
         dict(rows))
 
 
+def test_near_pair_whose_buckets_all_have_other_leaders(spark):
+    """Short earlier documents quote the pair, each what makes up one band that both share."""
+    base = [f"w{k}" for k in range(400)]
+    left, right = base + [f"a{k}" for k in range(50)], base + [f"b{k}" for k in range(50)]
+    runs = [" ".join(base[k:k + 5]) for k in range(396)]
+    single = sketches(shingle_sets(arrow(runs))[0], np.arange(len(runs) + 1))
+    whole = sketches(*shingle_sets(arrow([" ".join(left), " ".join(right)])))
+    rows = [(1000, " ".join(left)), (1001, " ".join(right))]
+    for band in range(BANDS):
+        at = range(band * ROWS, (band + 1) * ROWS)
+        if all(whole[0, r] == whole[1, r] for r in at):
+            quoted = [np.flatnonzero(single[:, r] == whole[0, r]) for r in at]
+            if all(len(q) for q in quoted):
+                rows.append((band, " ".join(f"{runs[q[0]]} q{band}" for q in quoted)))
+    assert len(rows) > 10
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute_components(
+        dict(rows))
+
+
 def test_near_odd_rows(spark, nothing):
     rows = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"),
                                   (4, None)], "doc_id bigint, text string")
