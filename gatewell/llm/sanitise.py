@@ -147,8 +147,8 @@ def private_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     ``bits``. Its places beside mentions of that entity are spans of kind "term".
 
     Document counts of terms are taken over all documents and combined before each shuffle. A term
-    can pass with one entity only, the one it is beside most often, so terms meet entities in a
-    join with one row per term. Texts are never shuffled.
+    can pass with several entities, so every pair of a term and an entity is tested. Texts are
+    never shuffled.
 
     Null and empty texts have no spans. Rows with a null or repeated id are judged by their own
     text; rows that repeat both are one document in the counts. An empty table gives no rows.
@@ -184,8 +184,6 @@ def _revealing(body: DataFrame, rows: DataFrame, beside: DataFrame, d: Disclosur
     """(term, entity) pairs that pass the disclosure test."""
     together = (beside.select("term", "entity", "key").distinct().groupBy("term", "entity")
                 .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= d.least_documents))
-    top = together.groupBy("term").agg(F.max(F.struct("n", "entity")).alias("top")).select(
-        "term", "top.n", "top.entity")
     words = F.array_distinct(F.split(F.lower("body"), WORD_PATTERN))
     everywhere = (body.select(F.explode(words).alias("term")).where(F.length("term") >= 4)
                   .groupBy("term").agg(F.count(F.lit(1)).alias("documents")))
@@ -193,7 +191,7 @@ def _revealing(body: DataFrame, rows: DataFrame, beside: DataFrame, d: Disclosur
                 .distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("mentioned")))
     total = rows.count()
     share = F.col("n") / F.greatest("documents", "n")
-    return (top.join(everywhere, "term").join(entities, "entity")
+    return (together.join(everywhere, "term").join(entities, "entity")
             .where((share > d.share)
                    & (F.log2(share * total / F.col("mentioned")) >= d.bits))
             .select("term", "entity"))

@@ -365,6 +365,19 @@ def test_terms_that_reveal_an_entity(spark):
     assert found[90].spans == "" and "term" not in found[91].spans
 
 
+def test_term_is_tested_with_every_entity(spark):
+    """The hotline is beside the name more often, but only the person's address is revealed by it."""
+    rows = []
+    for k in range(90):
+        text = " ".join(prose(k, 12))
+        text += " Weatherby" * (k < 10) + " w@corp.example" * (k < 9) + " help@desk.example" * (k < 30)
+        rows.append((k, text))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r.spans for r in private_spans(docs).collect()}
+    at = {k: t.find("Weatherby") for k, t in rows}
+    assert all(f"term:{at[k]}:{at[k] + 9}" in found[k] for k in range(9))
+
+
 def test_private_odd_rows(spark, nothing):
     rows = spark.createDataFrame([(None, "a@b.c"), (1, "a@b.c"), (1, "a@b.c")], "doc_id bigint, text string")
     assert [(r.n_email, r.spans) for r in private_spans(rows).collect()] == [(1, "email:0:5")] * 3
