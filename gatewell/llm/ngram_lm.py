@@ -19,7 +19,7 @@ from gatewell.llm.textcode import (
     ALNUM, mixed, run_edges, run_hashes, signed, texts_of, whole_starts, words_of,
 )
 
-ORDER = 2
+ORDER = 3        # of the registered model
 BACKOFF = 0.4
 CHUNK_BYTES = 2 << 20
 PART_BYTES = 16 << 20
@@ -156,7 +156,7 @@ def _scores(order: int, parts: int, backoff: float):
 
 
 def backoff_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-                   order: int = ORDER, backoff: float = BACKOFF, chunk_bytes: int = CHUNK_BYTES,
+                   order: int = 2, backoff: float = BACKOFF, chunk_bytes: int = CHUNK_BYTES,
                    part_bytes: int = PART_BYTES) -> DataFrame:
     """Per row: id, n_words, n_seen, log_score and mean_log_score (natural logarithms).
 

@@ -12,7 +12,7 @@ from gatewell.llm.contamination import contaminated
 from gatewell.llm.exact import exact_duplicates, normalised
 from gatewell.llm.licenses import license_scan
 from gatewell.llm.near import near_duplicates
-from gatewell.llm.ngram_lm import backoff_scores
+from gatewell.llm.ngram_lm import ORDER, backoff_scores
 from gatewell.llm.packing import best_fit_packing
 from gatewell.llm.quality import quality_scores
 from gatewell.llm.sanitise import private_spans
@@ -99,7 +99,7 @@ def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op6_language_model(spark: SparkSession, folder: str) -> DataFrame:
-    return backoff_scores(load(spark, folder, "documents").select("doc_id", "text"))
+    return backoff_scores(load(spark, folder, "documents").select("doc_id", "text"), order=ORDER)
 
 
 @query

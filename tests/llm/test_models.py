@@ -16,7 +16,7 @@ from gatewell.llm.licenses import BLOCK, STRIDE, TEMPLATES, THRESHOLD, license_s
 from gatewell.llm.ngram_lm import backoff_scores
 from gatewell.llm.packing import best_fit_packing, best_two_fit, cuts
 from gatewell.llm.quality import Settings, quality_scores
-from gatewell.llm.queries import vocabulary
+from gatewell.llm.queries import QUERIES, vocabulary
 from gatewell.llm.sanitise import base_spans, private_spans, sanitised
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -117,6 +117,13 @@ def test_backoff_against_counters(docs, texts, order, chunk, part):
         assert (r.mean_log_score is None) == (r.n_words == 0)
 
 
+def test_registered_model_has_contexts_of_two_words(spark, docs, texts, tmp_path):
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_scores(texts, 3)
+    for r in QUERIES["op6_language_model"](spark, str(tmp_path)).collect():
+        assert r.log_score == pytest.approx(want[r.doc_id][1], rel=1e-9, abs=1e-9)
+
+
 def test_backoff_odd_rows(spark, nothing):
     rows = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (2, None)],
                                  "doc_id bigint, text string")
