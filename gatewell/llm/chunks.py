@@ -15,7 +15,7 @@ from gatewell.session import materialize
 
 REACH = 24        # a cut is the least gear hash within this many bytes to either side
 LONGEST = 4096    # text without cuts, such as one character repeated, is cut after so many bytes
-LEAST_RUN = 64    # shorter runs of repeated chunks are left alone
+LEAST_RUN = 1     # shorter runs of repeated chunks are left alone; every chunk counts
 GEAR_BYTES = 32
 GEAR = (BYTE_VALUE >> np.uint64(32)).astype(np.uint32)
 NO_ID = -(1 << 63)

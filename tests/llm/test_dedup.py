@@ -284,3 +284,10 @@ def test_chunks_catch_shared_passages(docs, texts, nothing):
     alone = [k for k in range(13, 40) if k % 3]
     assert all(found[k].n_removed == 0 for k in alone)
     assert chunk_dedup(nothing).count() == 0
+
+
+def test_short_copies_are_repeated_chunks(spark):
+    docs = spark.createDataFrame([(1, "short copy"), (2, "short copy"), (3, "short copy"), (4, "other")],
+                                 "doc_id bigint, text string")
+    found = {r.doc_id: (r.n_repeated, r.n_removed) for r in chunk_dedup(docs).collect()}
+    assert found == {1: (10, 0), 2: (10, 10), 3: (10, 10), 4: (0, 0)}
