@@ -129,6 +129,28 @@ def _beside(text: Column, span: Column, base: Column, reach: int) -> Column:
         base, lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
 
 
+def _held(text: Column) -> Column:
+    """All terms of a text in lower case, their lengths, and the lengths of what lies between."""
+    terms = F.regexp_extract_all(text, F.lit(TERM_PATTERN), F.lit(0))
+    return F.struct(F.transform(terms, F.lower).alias("terms"),
+                    F.transform(terms, F.length).alias("sizes"),
+                    F.transform(F.split(text, TERM_PATTERN, -1), F.length).alias("gaps"))
+
+
+def _places(held: Column, terms: Column, base: Column) -> Column:
+    """Where these terms stand, outside all spans: (kind, start, end)."""
+    def summed(lengths, n):
+        return F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0), lambda a, x: a + x)
+
+    def place(k):
+        start = summed(held["gaps"], k + 1) + summed(held["sizes"], k)
+        return F.struct(F.lit(KINDS.index(TERM)).alias("kind"), start.alias("start"),
+                        (start + F.get(held["sizes"], k)).alias("end"))
+    numbers = F.transform(held["terms"], lambda t, k: F.when(F.array_contains(terms, t), k))
+    return F.filter(F.transform(F.array_compact(numbers), place), lambda t: ~F.exists(
+        base, lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
+
+
 def _listed(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(
@@ -144,7 +166,7 @@ def private_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     in lower case) within ``reach`` characters of a mention reveals the entity if at least
     ``least_documents`` documents have it there, if these are more than ``share`` of all documents
     that have the term anywhere, and if its mutual information with the entity is at least
-    ``bits``. Its places beside mentions of that entity are spans of kind "term".
+    ``bits``. All its places in documents that mention the entity are spans of kind "term".
 
     Document counts of terms are taken over all documents and combined before each shuffle. A term
     can pass with several entities, so every pair of a term and an entity is tested. Texts are
@@ -161,7 +183,8 @@ def private_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         F.xxhash64(s["kind"], F.lower(s["value"])).alias("entity"),
         _beside(text, s, F.col("base"), disclosure.reach).alias("beside")))
     rows = materialize(found.select(
-        "id", "key", "base", F.when(F.size("base") > 0, mentions).alias("mentions")), "private-rows")
+        "id", "key", "base", F.when(F.size("base") > 0, mentions).alias("mentions"),
+        F.when(F.size("base") > 0, _held(text)).alias("held")), "private-rows")
 
     beside = (rows.where("mentions IS NOT NULL").select("key", F.explode("mentions").alias("m"))
               .select("key", "m.entity", F.explode("m.beside").alias("t"))
@@ -169,13 +192,19 @@ def private_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     revealing = materialize(_revealing(body, rows, beside, disclosure), "private-terms")
     places = (beside.join(revealing, ["term", "entity"])
               .groupBy("key").agg(F.collect_set(F.struct(
-                  F.lit(KINDS.index(TERM)).alias("kind"), "start", "end")).alias("terms")))
+                  F.lit(KINDS.index(TERM)).alias("kind"), "start", "end")).alias("near")))
+    # Beyond the reach, the terms are looked for in the documents that mention the entity.
+    told = (rows.where("mentions IS NOT NULL")
+            .select("key", F.explode(F.array_distinct("mentions.entity")).alias("entity"))
+            .join(revealing, "entity").groupBy("key").agg(F.collect_set("term").alias("told")))
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     base = F.transform("base", lambda s: F.struct(
         s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    every = F.concat(base, F.array_sort(F.coalesce("terms", none)))
+    terms = F.array_union(F.coalesce("near", none), F.coalesce(
+        F.when(F.col("told").isNotNull(), _places(F.col("held"), F.col("told"), F.col("base"))), none))
+    every = F.concat(base, F.array_sort(terms))
     counts = [_count(number, kind) for number, kind in enumerate(PATTERNS)]
-    return (rows.drop("mentions").join(places, "key", "left")
+    return (rows.drop("mentions").join(places, "key", "left").join(told, "key", "left")
             .select(F.col("id").alias(id_column), *counts, _listed(F.col("base")).alias("base_spans"),
                     _listed(every).alias("spans")))
 

@@ -385,6 +385,17 @@ def test_term_is_tested_with_every_entity(spark):
     assert all(f"term:{at[k]}:{at[k] + 9}" in found[k] for k in range(9))
 
 
+def test_revealing_term_is_found_beyond_the_reach(spark):
+    far = " ".join(f"{k}{k}" for k in range(1000, 1100))
+    rows = [(k, f"Zebulon via z@corp.example {far} zebulon, {far} ZEBULON") for k in range(3)]
+    rows += [(10 + k, " ".join(prose(k, 30))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r.spans for r in private_spans(docs).collect()}
+    for k in range(3):
+        at = [m.start() for m in re.finditer("zebulon", rows[k][1].lower())]
+        assert len(at) == 3 and all(f"term:{a}:{a + 7}" in found[k].split(",") for a in at)
+
+
 def test_private_odd_rows(spark, nothing):
     rows = spark.createDataFrame([(None, "a@b.c"), (1, "a@b.c"), (1, "a@b.c")], "doc_id bigint, text string")
     assert [(r.n_email, r.spans) for r in private_spans(rows).collect()] == [(1, "email:0:5")] * 3
