@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import functools
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,6 +13,7 @@ from gatewell.llm.licenses import license_scan
 from gatewell.llm.near import near_duplicates
 from gatewell.llm.ngram_lm import ORDER, backoff_scores
 from gatewell.llm.packing import best_fit_packing
+from gatewell.llm.periods import periodic_runs
 from gatewell.llm.quality import quality_scores
 from gatewell.llm.sanitise import private_spans
 from gatewell.llm.shipping import ship
@@ -107,3 +107,80 @@ def op7_private(spark: SparkSession, folder: str) -> DataFrame:
     found = private_spans(load(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
                         F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def _rewound(docs: DataFrame) -> DataFrame:
+    """One document in ten, by the checksum of its id, repeats a part of itself up to its end.
+
+    The words of such a text are joined by one space; the others stay as they are.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    docs = docs.select("doc_id", "text", h.alias("h"), g.alias("g"), F.when(
+        h % 10 == 0, F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)")).alias("words"))
+    docs = docs.withColumn("n", F.size("words"))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    docs = docs.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) AS int)"))
+    again = F.expr("flatten(array_repeat(slice(words, a + 1, p), cast(ceil((n - a) / p) AS int)))")
+    whole = F.slice(F.concat(F.expr("slice(words, 1, a)"), again), F.lit(1), F.col("n"))
+    return docs.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(whole, " "))
+                       .otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs(_rewound(load(spark, folder, "documents").select("doc_id", "text")))
+    first = F.expr("""aggregate(runs, cast(null AS struct<start: bigint, length: bigint,
+        period: bigint>), (best, r) -> if(best IS NULL OR r.length * best.period >
+        best.length * r.period, r, best))""")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, "
+                   "'\n')), '')")
+    found = found.withColumn("top", first)
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "top.start", "top.length",
+        "top.period", F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+# The checksum is worked out bit by bit; -1 stands for a step by one bit.
+SQL["op12_periodic_runs"] = r"""
+    WITH marks AS (
+        SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+            string_split(doc_id::VARCHAR, ''),
+            lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+            lambda s, x: CASE WHEN x >= 0 THEN xor(s, x)
+                ELSE xor(s >> 1, 3988292384::BIGINT * (s & 1)) END), 4294967295::BIGINT) AS h,
+            regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS given
+        FROM documents),
+    places AS (SELECT *, h // 10 AS g, len(given) AS n, (h // 10) % len(given) AS a FROM marks),
+    steps AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM places),
+    words AS (
+        SELECT doc_id, i, CASE WHEN h % 10 = 0 AND i >= a THEN given[a + (i - a) % p + 1]
+            ELSE given[i + 1] END AS word, n
+        FROM (SELECT *, unnest(range(n)) AS i FROM steps)),
+    equal AS (
+        SELECT l.doc_id, l.i, r.i - l.i AS q,
+            l.i - row_number() OVER (PARTITION BY l.doc_id, r.i - l.i ORDER BY l.i) AS island
+        FROM words l JOIN words r ON l.doc_id = r.doc_id AND l.word = r.word AND l.i < r.i
+            AND 4 * (r.i - l.i) <= l.n),
+    stretches AS (
+        SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+        FROM equal GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+    runs AS (
+        SELECT doc_id, start, length, q AS period FROM stretches s WHERE NOT EXISTS (
+            SELECT 1 FROM stretches t WHERE t.doc_id = s.doc_id AND t.q < s.q
+                AND t.start <= s.start AND t.start + t.length >= s.start + s.length)),
+    tops AS (
+        SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period
+                || chr(10), '' ORDER BY start, period) AS lines,
+            first(struct_pack(start := start, length := length, period := period)
+                ORDER BY length::DOUBLE / period DESC, start, period) AS top
+        FROM runs GROUP BY doc_id),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+    kept AS (
+        SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS body
+        FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.start AS start, top.length AS length,
+        top.period AS period, 1000 * top.length // top.period AS exponent_milli,
+        sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+    FROM documents LEFT JOIN tops USING (doc_id) LEFT JOIN kept USING (doc_id)"""
