@@ -15,6 +15,7 @@ from gatewell.llm.ngram_lm import ORDER, backoff_scores
 from gatewell.llm.packing import best_fit_packing
 from gatewell.llm.periods import periodic_runs
 from gatewell.llm.quality import quality_scores
+from gatewell.llm.ranked import ranked_search
 from gatewell.llm.sanitise import private_spans
 from gatewell.llm.shipping import ship
 from gatewell.llm.suffixes import suffix_dedup
@@ -184,3 +185,41 @@ SQL["op12_periodic_runs"] = r"""
         top.period AS period, 1000 * top.length // top.period AS exponent_milli,
         sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
     FROM documents LEFT JOIN tops USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+@query
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search(load(spark, folder, "documents").select("doc_id", "text"),
+                         load(spark, folder, "benchmark").select("item_id", "text"))
+
+
+SQL["op11_ranked_search"] = r"""
+    WITH given AS (
+        SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(translate(
+            coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+    totals AS (SELECT count(*) AS total, sum(len(terms))::BIGINT AS mass
+               FROM given WHERE len(terms) > 0),
+    asked AS (
+        SELECT item_id, term, count(*) AS times FROM (
+            SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+        GROUP BY item_id, term),
+    held AS (
+        SELECT place, term, count(*) AS tf FROM (SELECT place, unnest(terms) AS term FROM given)
+        WHERE term IN (SELECT term FROM asked) GROUP BY place, term),
+    weights AS (SELECT term, floor(1000 * ln((2 * any_value(total) + 2) / (2 * count(*) + 1)))::BIGINT
+                    AS w FROM held, totals GROUP BY term),
+    spread AS (SELECT place, doc_id, 100 - 25 + (25 * len(terms) * total) // mass AS m
+               FROM given, totals),
+    scored AS (
+        SELECT item_id, place, doc_id,
+            sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+        FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN spread USING (place)
+        GROUP BY item_id, place, doc_id),
+    ranked AS (
+        SELECT item_id, row_number() OVER (PARTITION BY item_id
+            ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+        FROM scored WHERE score > 0)
+    SELECT * FROM ranked WHERE rank <= 20"""
