@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gatewell.llm.chunks import chunk_dedup
 from gatewell.llm.contamination import contaminated
 from gatewell.llm.exact import exact_duplicates, normalised
+from gatewell.llm.fragments import ngram_join
 from gatewell.llm.licenses import license_scan
 from gatewell.llm.near import near_duplicates
 from gatewell.llm.ngram_lm import ORDER, backoff_scores
@@ -223,3 +224,34 @@ SQL["op11_ranked_search"] = r"""
             ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
         FROM scored WHERE score > 0)
     SELECT * FROM ranked WHERE rank <= 20"""
+
+
+@query
+def op13_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join(load(spark, folder, "documents").select("doc_id", "text"))
+
+
+# The smallest id is handed on along links until nothing changes.
+SQL["op13_ngram_join"] = r"""
+    WITH RECURSIVE given AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x20\x09-\x0D]+') AS words FROM documents),
+    grams AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN []
+            WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+            ELSE list_transform(range(len(words) - 2),
+                lambda i: array_to_string(words[i + 1:i + 3], ' ')) END) AS gram FROM given),
+    sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+    links AS (
+        SELECT a.doc_id AS u, b.doc_id AS v
+        FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+        JOIN sizes s ON s.doc_id = a.doc_id JOIN sizes t ON t.doc_id = b.doc_id
+        GROUP BY a.doc_id, b.doc_id
+        HAVING 100 * count(*) >= 90 * (any_value(s.n) + any_value(t.n) - count(*))),
+    reach AS (
+        SELECT doc_id AS id, doc_id AS other FROM given
+        UNION SELECT id, v FROM reach JOIN links ON u = other)
+    SELECT g.doc_id, coalesce(s.n, 0) AS n_shingles, r.least AS component_id
+    FROM given g JOIN (SELECT id, min(other) AS least FROM reach GROUP BY id) r ON r.id = g.doc_id
+    LEFT JOIN sizes s ON s.doc_id = g.doc_id"""
