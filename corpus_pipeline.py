@@ -21,13 +21,22 @@ from gatewell.session import load, materialize
 ORACLE_SQL = None
 
 
+# Names a row by its id and text, as ids may repeat; null where there is no id.
+ROW = "gatewell_row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(ROW, F.when(F.col("doc_id").isNotNull(), F.xxhash64(
+        "doc_id", F.coalesce("text", F.lit("")))))
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those whose doc_id was dropped; rows without an id stay.
+    """The rows of ``docs`` without those whose key was dropped; rows without an id stay.
 
-    The dropped ids are narrow rows. Adaptive execution broadcasts them only if they are few.
+    The dropped keys are narrow rows. Adaptive execution broadcasts them only if they are few.
     """
-    ids = dropped.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+    keys = dropped.select(ROW).where(F.col(ROW).isNotNull()).distinct()
+    return _keyed(docs).join(keys, ROW, "left_anti").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -37,18 +46,26 @@ def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    return _without(docs, exact_duplicates(docs.select("doc_id", "text")).where("NOT kept"))
+    rows = _keyed(docs).select("doc_id", "text", ROW)
+    return _without(docs, exact_duplicates(rows, carry=[ROW]).where("NOT kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Of each group of near duplicates the row with the smallest doc_id stays."""
     ship(spark)
-    return _without(docs, near_duplicates(docs.select("doc_id", "text")).where("NOT kept"))
+    rows = _keyed(docs).select("doc_id", ROW, "text")
+    found = (near_duplicates(rows.select(ROW, "text"), id_column=ROW)
+             .where(F.col(ROW).isNotNull()).select(ROW, "component_id").distinct())
+    found = materialize(found.join(rows.select("doc_id", ROW).distinct(), ROW), "near-rows")
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", ROW)).alias("first"))
+    stay = first.select(F.col(f"first.{ROW}").alias(ROW))
+    return _without(docs, found.join(stay, ROW, "left_anti"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     ship(spark)
-    found = contaminated(docs.select("doc_id", "text"),
-                         load(spark, folder, "benchmark").select("item_id", "text"))
+    found = contaminated(_keyed(docs).select(ROW, "text"),
+                         load(spark, folder, "benchmark").select("item_id", "text"), doc_id=ROW)
     return _without(docs, found.where("contaminated"))
 
 
