@@ -111,8 +111,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     benchmark's sides are broadcast only if they were counted to be at most ``broadcast_rows``;
     beyond it the same joins shuffle.
 
-    Null and empty texts have no words. Rows that repeat both id and text give one row. Null ids
-    are kept; null item ids never count. With an empty benchmark nothing is hit; with no documents
+    Null and empty texts have no words. Rows that repeat an id, a text or both are all returned. Null
+    ids are kept; null item ids never count. With an empty benchmark nothing is hit; with no documents
     there are no rows. Ids must be integers; other columns play no part.
     """
     def narrowed(frame, ident, text):
@@ -136,7 +136,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     def sided(frame):
         return F.broadcast(frame) if frame.count() <= broadcast_rows else frame
 
-    found = (narrowed(docs, F.col(quoted(doc_id)).cast("bigint"), doc_text)
+    source = narrowed(docs, F.col(quoted(doc_id)).cast("bigint"), doc_text)
+    found = (source
              .mapInArrow(_marks(sizes, False, window), _MARKS_SQL)
              .join(sided(marks), "mark", "left").where("size = 0 OR shared")
              .select("id", "key", "n_words", "size", "start",
@@ -152,7 +153,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         F.collect_set(F.when(hit, F.col("items"))).alias("items"))
     n_hit = _covered(F.col("spans"))
     listed = F.array_sort(F.array_distinct(F.flatten("items")))
-    return (per_text.select("id", "n_words", n_hit.alias("n_hit"), listed.alias("items"))
+    # Rows that repeat id and text were judged as one; each row gets the verdict back.
+    judged = per_text.select(F.col("id").alias("judged"), F.col("key").alias("text_key"), "n_words",
+                             n_hit.alias("n_hit"), listed.alias("items"))
+    rows = source.select("id", "key")
+    return (rows.join(judged, rows["id"].eqNullSafe(judged["judged"])
+                      & (rows["key"] == judged["text_key"]))
             .select(F.col("id").alias(doc_id), "n_words", "n_hit",
                     F.size("items").cast("bigint").alias("n_items"), "items",
                     ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

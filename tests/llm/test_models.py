@@ -255,7 +255,8 @@ def test_contamination_odd_rows(spark, docs, texts, nothing):
     assert not any(r.contaminated or r.n_hit for r in contaminated(docs, none).collect())
     items = spark.createDataFrame([("z", "a b c")], "item_id string, text string")
     rows = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c")], "doc_id bigint, text string")
-    assert sorted((r.doc_id or 0, r.n_hit) for r in contaminated(rows, items).collect()) == [(0, 3), (1, 3)]
+    assert sorted((r.doc_id or 0, r.n_hit) for r in contaminated(rows, items).collect()) == [
+        (0, 3), (1, 3), (1, 3)]
     assert contaminated(nothing, items).count() == 0
 
 

@@ -11,7 +11,7 @@ from test_models import brute_hits
 
 NAMES = ["op1_quality", "op2_exact_dedup", "op3_suffix_dedup", "op4_licenses", "op5_near_dedup",
          "op6_language_model", "op7_private", "op8_decontamination", "op9_packing",
-         "op10_chunk_dedup"]
+         "op10_chunk_dedup", "op11_ranked_search", "op12_periodic_runs", "op13_ngram_join"]
 
 
 def test_registration():
@@ -74,3 +74,23 @@ def test_queries_run_on_the_smallest_tables(spark, folder, name):
     n = spark.read.parquet(f"{folder}/documents.parquet").count()
     assert found.count() == n if name != "op9_packing" else found.count() >= n
     assert found.columns[0] == "doc_id"
+
+
+def test_repeated_ids_lose_only_the_row_that_goes(spark, folder):
+    """Rows that share an id are judged by their own texts."""
+    from texts_for_tests import prose
+
+    stages = dict(corpus_pipeline.STAGES)
+    long, alone = " ".join(prose(1, 80)), " ".join(prose(2, 80))
+    rows = [(5, "a"), (9, "A"), (5, "unique"), (None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(map(tuple, stages["exact dedup"](spark, docs, folder).collect()), key=str) == sorted(
+        rows[1:], key=str)
+    rows = [(5, long + " end"), (3, long), (5, alone), (7, alone + " end"), (8, None), (None, long)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(map(tuple, stages["near dedup"](spark, docs, folder).collect()), key=str) == sorted(
+        [rows[1], rows[2], rows[4], rows[5]], key=str)
+    item = duckdb.sql(f"SELECT text FROM '{folder}/benchmark.parquet' ORDER BY 1 DESC").fetchone()[0]
+    rows = [(5, item), (5, alone), (6, alone), (6, alone)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(map(tuple, stages["decontamination"](spark, docs, folder).collect())) == sorted(rows[1:])
