@@ -85,7 +85,8 @@ def run_build(spark: SparkSession, spec: Spec, run_id: str, ts: datetime.datetim
     if require_approval:
         approval = ApprovalLog(spark, log.approvals_path).request(
             run_id, "approval", f"show {physical} as {spec.target_table}", ts, actor,
-            {"staged": physical, "target": spec.target_table, "rows": rows})
+            {"staged": physical, "target": spec.target_table, "rows": rows,
+             "attempt": target.attempt(physical)})
         log_actions(spark, log.audit_path, f"{run_id}-staged", ts, actor, [
             ("stage", {"pipeline_id": run_id, "stage": "approval", "approval_id": approval})])
         return BuildResult(physical, rows, warnings, approval_id=approval)
@@ -96,7 +97,8 @@ def release(spark: SparkSession, spec: Spec, staged: BuildResult, run_id: str,
             ts: datetime.datetime, log: BuildLog, actor: str = "build") -> BuildResult:
     """Show a staged table if its approval was given; drop it if it was rejected.
 
-    The approval must name this table and this target. A second release is refused, and a table
+    The approval must name this table, this target and the try that staged the rows: if the run was
+    tried again since, what was approved is gone and the new rows need their own approval. A second release is refused, and a table
     that was shown is never dropped.
     """
     approvals = ApprovalLog(spark, log.approvals_path)
@@ -104,6 +106,8 @@ def release(spark: SparkSession, spec: Spec, staged: BuildResult, run_id: str,
     named = approvals.artifacts(staged.approval_id)
     if (named.get("staged"), named.get("target")) != (staged.physical, spec.target_table):
         raise PermissionError(f"{staged.approval_id} is not about {staged.physical}")
+    if named.get("attempt") != target.attempt(staged.physical):
+        raise PermissionError(f"{staged.approval_id} is not about what {staged.physical} holds now")
     state = approvals.status(staged.approval_id)
     if state == REJECTED:
         target.discard(staged.physical)

@@ -16,12 +16,15 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
            order_by: Sequence[Column] | None = None) -> DataFrame:
     """The target after new keys are inserted and known keys replaced.
 
-    With ``order_by`` only the first source row per key counts; without it source keys must be
-    unique. Nulls in keys are equal to each other here, so a row with a null key replaces the one
+    With ``order_by`` only the first source row per key counts; without it a repeated source key is
+    refused, which reads the source's keys once more. Nulls in keys are equal to each other here, so a row with a null key replaces the one
     before it. Write the result as a new version: files cannot be overwritten while they are read.
     """
     if order_by:
         source = top_per_group(source, keys, order_by, 1, "_rank").drop("_rank")
+    elif not (source.groupBy(*map(quoted, keys)).agg(F.count(F.lit(1)).alias("_rows"))
+              .where("_rows > 1").isEmpty()):
+        raise ValueError(f"the source repeats a key of {list(keys)}: say which row counts by order_by")
     known = source.select(*[F.col(quoted(k)).alias(f"_key{n}") for n, k in enumerate(keys)])
     same = reduce(lambda a, b: a & b, [
         F.col(quoted(k)).eqNullSafe(F.col(f"_key{n}")) for n, k in enumerate(keys)])

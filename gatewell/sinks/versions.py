@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -15,6 +16,7 @@ from gatewell.functions import quoted
 
 LOG_SCHEMA = "name string, version bigint, physical_name string, action string, ts timestamp"
 STAGED = "staged"
+ATTEMPT = "gatewell.attempt"
 
 
 class VersionedTable:
@@ -63,11 +65,21 @@ class VersionedTable:
         if self._was_shown(physical):
             raise ValueError(f"run {run_id} has already shown a version of {self.name}")
         seen = self._write(df, physical, *measures)
+        self.spark.sql(f"ALTER TABLE {_quoted(physical)} SET TBLPROPERTIES "
+                       f"('{ATTEMPT}' = '{uuid.uuid4().hex}')")
         if self._log().where((F.col("physical_name") == physical)
                              & (F.col("action") == STAGED)).isEmpty():
             self._append(physical, None, STAGED, ts)
         return physical, seen
 
+    def attempt(self, physical: str) -> str | None:
+        """Which try staged the rows that a table holds now; None if there is no such table."""
+        if not self.spark.catalog.tableExists(physical):
+            return None
+        kept = {r["key"]: r["value"] for r in
+                self.spark.sql(f"SHOW TBLPROPERTIES {_quoted(physical)}").collect()}
+        return kept.get(ATTEMPT)
+
     def _write(self, df: DataFrame, physical: str, *measures) -> dict:
         seen = Observation()
         (df.observe(seen, F.count(F.lit(1)).alias("rows"), *measures)

@@ -68,6 +68,20 @@ def test_an_approval_shows_what_was_approved(spark, build):
     assert approvals.artifacts(b.approval_id)["staged"] == b.physical
 
 
+def test_an_approval_does_not_hold_for_a_second_try(spark, build):
+    source, target, log, approvals = build
+    a = run_build(spark, numbers(source, target, 5), "a", T0, log, require_approval=True)
+    approvals.approve(a.approval_id, "x", T0)
+    later = T0 + datetime.timedelta(hours=1)
+    again = run_build(spark, numbers(source, target, 7), "a", later, log, require_approval=True)
+    assert again.physical == a.physical and again.approval_id != a.approval_id
+    with pytest.raises(PermissionError, match="holds now"):
+        release(spark, numbers(source, target, 5), a, "a", later, log)
+    approvals.approve(again.approval_id, "x", later)
+    assert release(spark, numbers(source, target, 7), again, "a", later, log).version == 1
+    assert spark.table(target).count() == 7
+
+
 def test_a_rejection_drops_nothing_visible(spark, build):
     source, target, log, approvals = build
     a = run_build(spark, numbers(source, target, 5), "a", T0, log, require_approval=True)
@@ -338,3 +352,22 @@ def test_index_is_extended_and_read_by_bucket(spark):
     plan = index.of(spark, ["red"])._jdf.queryExecution().toString()
     assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "[bucket").replace(
         "[[bucket", "[bucket") or "PartitionFilters: [isnotnull(bucket" in plan
+
+
+def test_new_rows_without_times_come_once(spark):
+    kind = "id int, ts timestamp_ntz"
+    target = spark.createDataFrame([(1, None), (None, None)], kind)
+    source = spark.createDataFrame([(1, None), (None, None), (2, None), (3, T0)], kind)
+    assert sorted(r["id"] for r in new_rows(source, target, "ts", "id").collect()) == [2, 3]
+    both = target.unionByName(new_rows(source, target, "ts", "id"))
+    assert new_rows(source, both, "ts", "id").count() == 0
+    assert new_rows(source, target.limit(0), "ts", "id").count() == 4
+
+
+def test_upsert_refuses_repeated_source_keys(spark):
+    old = spark.createDataFrame([(1, "a")], "k int, v string")
+    for key in (1, None):
+        new = spark.createDataFrame([(key, "b"), (key, "c")], "k int, v string")
+        with pytest.raises(ValueError, match="order_by"):
+            upsert(old, new, ["k"])
+        assert upsert(old, new, ["k"], [F.col("v").desc()]).where("v = 'c'").count() == 1
