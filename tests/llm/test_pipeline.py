@@ -90,7 +90,7 @@ def test_repeated_ids_lose_only_the_row_that_goes(spark, folder):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted(map(tuple, stages["near dedup"](spark, docs, folder).collect()), key=str) == sorted(
         [rows[1], rows[2], rows[4], rows[5]], key=str)
-    item = duckdb.sql(f"SELECT text FROM '{folder}/benchmark.parquet' ORDER BY 1 DESC").fetchone()[0]
+    item = duckdb.sql(f"SELECT text FROM '{folder}/benchmark.parquet' ORDER BY 1 DESC").fetchall()[0][0]
     rows = [(5, item), (5, alone), (6, alone), (6, alone)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted(map(tuple, stages["decontamination"](spark, docs, folder).collect())) == sorted(rows[1:])
