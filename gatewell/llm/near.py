@@ -104,29 +104,23 @@ _PROFILE = ("id bigint, n bigint, f1 bigint, f2 bigint, sketch binary")
 
 
 def _profiles(batches):
+    """Sketched and passed on slice by slice, so a task never holds more than one slice's elements."""
     for batch in batches:
-        values, firsts, start = [], [np.zeros(1, np.int64)], 0
-        for _, texts in slices(batch, "text"):
+        for part, texts in slices(batch, "text"):
             value, first = shingle_sets(texts)
-            values.append(value)
-            firsts.append(first[1:] + start)
-            start += len(value)
-        if not values:
-            continue
-        value, first = np.concatenate(values), np.concatenate(firsts)
-        sums = []
-        for seed in (1, 2):  # a set's name: sums over its elements, in any order
-            total = np.zeros(len(value) + 1, np.uint64)
-            np.cumsum(mixed(value ^ mixed(np.array([seed], np.uint64))[0]), out=total[1:])
-            sums.append(pa.array(signed(total[first[1:]] - total[first[:-1]])))
-        flat = np.ascontiguousarray(sketches(value, first)).tobytes()
-        n, width = batch.num_rows, 2 * REGISTERS
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(np.diff(first)), *sums,
-             pa.Array.from_buffers(pa.binary(), n, [
-                 None, pa.py_buffer(np.arange(0, n * width + 1, width, dtype=np.int32)),
-                 pa.py_buffer(flat)])],
-            names=["id", "n", "f1", "f2", "sketch"])
+            sums = []
+            for seed in (1, 2):  # a set's name: sums over its elements, in any order
+                total = np.zeros(len(value) + 1, np.uint64)
+                np.cumsum(mixed(value ^ mixed(np.array([seed], np.uint64))[0]), out=total[1:])
+                sums.append(pa.array(signed(total[first[1:]] - total[first[:-1]])))
+            flat = np.ascontiguousarray(sketches(value, first)).tobytes()
+            n, width = part.num_rows, 2 * REGISTERS
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id"), pa.array(np.diff(first)), *sums,
+                 pa.Array.from_buffers(pa.binary(), n, [
+                     None, pa.py_buffer(np.arange(0, n * width + 1, width, dtype=np.int32)),
+                     pa.py_buffer(flat)])],
+                names=["id", "n", "f1", "f2", "sketch"])
 
 
 def _registers(column) -> np.ndarray:
