@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gatewell.functions.detectors import DETECTORS, REPLACEMENTS
 from gatewell.governance.approvals import current_state, episodes
 from gatewell.governance.audit import append_audit, read_audit
-from gatewell.governance.lineage import column_edges, edge_summary, run_edges, upstream
+from gatewell.governance.column_log import column_summary, logged_column_edges
+from gatewell.governance.lineage import edge_summary, run_edges, upstream
 from gatewell.governance.pii import (
     create_masked_view, mask_columns, rules_from_tags, tag_tables,
 )
@@ -62,24 +61,50 @@ def masked_documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.table(view).select("doc_id", "text", "lang")
 
 
+# Every event is read as a run with a log of steps that depends on k: columns are read from the raw
+# data of its user and a reference set, overwritten, renamed, dropped, and folded k % 7 times.
 @query("column_lineage", """
-    SELECT * FROM (VALUES ('customer', 'c_mktsegment', 'c_mktsegment'),
-      ('orders', 'o_totalprice', 'revenue'), ('orders', 'o_orderkey', 'n'),
-      ('orders', 'o_totalprice', 'label'), ('customer', 'c_mktsegment', 'label'))
-      AS t(src, src_col, dst_col)
-    WHERE (SELECT count(*) FROM orders) > 0""")
+    WITH e AS (
+      SELECT 'raw.user_' || user_id AS u, 'mart.' || event_type AS dst, ts,
+             CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+    c AS (
+      SELECT u AS src, 'value' AS src_col, dst, 'amount' AS dst_col, ts FROM e
+      UNION ALL SELECT 'ref.set_' || k, 'factor', dst, 'amount', ts FROM e WHERE k % 2 = 1
+      UNION ALL SELECT u, 'props', dst, 'band', ts FROM e WHERE k % 3 <> 0
+      UNION ALL SELECT u, 'value', dst, 'score', ts FROM e
+      UNION ALL SELECT 'ref.set_' || k, 'factor', dst, 'score', ts FROM e
+                WHERE k % 2 = 1 OR k % 7 >= 5)
+    SELECT src, src_col, dst, dst_col, count(*) AS runs, min(ts) AS first_seen,
+           max(ts) AS last_seen
+    FROM c GROUP BY src, src_col, dst, dst_col""")
 def column_lineage(spark: SparkSession, folder: str) -> DataFrame:
-    """Which source columns each column of a declared build comes from, told by the schemas."""
-    inputs = {t: load(spark, folder, t) for t in ("orders", "customer")}
-    steps = [
-        {"op": "join", "table": "customer", "left_key": "o_custkey", "right_key": "c_custkey",
-         "skew_safe": False},
-        {"op": "aggregate", "keys": ["c_mktsegment"],
-         "measures": {"revenue": "sum(o_totalprice)", "n": "count(o_orderkey)"}},
-        {"op": "rank_segment", "order_by": ["-revenue", "c_mktsegment"], "as": "label",
-         "segments": {"top": 0.2, "rest": 1.0}}]
-    edges = column_edges(inputs, steps, "mart", "run", datetime.datetime(2024, 1, 31))
-    return edges.select("src", "src_col", "dst_col")
+    """Which source columns each result column of the logged runs came from."""
+    events = load(spark, folder, "events").select(
+        F.col("event_id").cast("string").alias("run_id"), "ts", "user_id", "event_type",
+        F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    raw = F.concat(F.lit("raw.user_"), F.col("user_id").cast("string"))
+    reference = F.concat(F.lit("ref.set_"), F.col("k").cast("string"))
+
+    def column(name, src=F.lit(None)):
+        return F.struct(src.cast("string").alias("src"), F.lit(name).alias("col"))
+
+    def step(number, out, *inputs, when=F.lit(True), dropped=False):
+        listed = F.lit(None) if dropped else F.array_compact(F.array(*inputs))
+        return F.when(when, F.struct(
+            F.lit(number).cast("bigint").alias("step"), F.lit(out).alias("out_col"),
+            listed.cast("array<struct<src: string, col: string>>").alias("in_cols")))
+
+    k = F.col("k")
+    folds = [step(4 + n, "score", column("score"), *([column("factor")] if n == 5 else []),
+                  when=k % 7 >= n) for n in range(1, 7)]
+    steps = events.select("run_id", F.inline(F.array_compact(F.array(
+        step(1, "amount", column("value", raw)), step(1, "bucket", column("props", raw)),
+        step(1, "factor", column("factor", reference)),
+        step(2, "amount", column("amount"), F.when(k % 2 == 1, column("factor"))),
+        step(3, "band", column("bucket"), when=k % 3 != 0), step(3, "bucket", dropped=True),
+        step(4, "score", column("amount")), *folds, step(12, "factor", dropped=True)))))
+    runs = events.select("run_id", F.concat(F.lit("mart."), "event_type").alias("target"), "ts")
+    return column_summary(logged_column_edges(steps, runs))
 
 
 @query("masked_view_customer", """
