@@ -11,6 +11,7 @@ from gatewell.plans.registry import query
 from gatewell.retrieval.chunks import chunk_documents
 from gatewell.retrieval.index import TermIndex
 from gatewell.retrieval.search import keyword_search, terms_of
+from gatewell.retrieval.near_vectors import near_topk
 from gatewell.retrieval.vectors import centroids, vector_topk
 from gatewell.session import TABLES, fresh_table, load
 
@@ -171,3 +172,13 @@ def nearest_to_label(spark: SparkSession, folder: str) -> DataFrame:
     vectors = load(spark, folder, "embeddings")
     return vector_topk(vectors, "vec_id", "embedding",
                        centroids(vectors, "label", "embedding", DIMS), NEAREST)
+
+
+# No SQL: which neighbours share a bucket with a query is not expressible; the tests measure recall.
+@query("vector_topk_near")
+def nearest_to_many(spark: SparkSession, folder: str) -> DataFrame:
+    """The vectors nearest to each vector whose id is divisible by 20, among all vectors."""
+    vectors = load(spark, folder, "embeddings")
+    queries = vectors.where("vec_id % 20 = 0").select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return near_topk(vectors, "vec_id", "embedding", queries, NEAREST)

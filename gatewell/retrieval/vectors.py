@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gatewell.operators.ranking import top_per_group
 
@@ -23,7 +23,7 @@ def centroids(vectors: DataFrame, group: str, vector: str, dims: int) -> DataFra
     return vectors.groupBy(F.col(group).alias("query_id")).agg(F.array(*means).alias("query"))
 
 
-def _scoring(key: str, k: int):
+def scoring(key: str, k: int):
     """(list column to unit rows, k best rows per query, both over batches). Nested, so that tasks
     receive the code itself and need no copy of this package."""
 
@@ -76,7 +76,7 @@ def _few_queries(source: DataFrame, key: str, listed: pa.Table, k: int, schema:
     """All queries travel with the task: at most ``QUERY_BLOCK`` of them, checked by the caller."""
     listed = listed.combine_chunks()
     ids = listed.column("query_id").combine_chunks()
-    unit_rows, best, running = _scoring(key, k)
+    unit_rows, best, running = scoring(key, k)
     wanted = unit_rows(listed.column("query").combine_chunks(), len(ids))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +101,7 @@ def _many_queries(source: DataFrame, key: str, vector: str, queries: DataFrame,
     asked = (queries.withColumn("_c", F.pmod(F.xxhash64("query_id"), F.lit(columns)))
              .withColumn("_r", F.explode(F.expr(f"sequence(0L, {rows - 1}L)"))))
 
-    unit_rows, best, _ = _scoring(key, k)
+    unit_rows, best, _ = scoring(key, k)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -120,23 +120,42 @@ def _many_queries(source: DataFrame, key: str, vector: str, queries: DataFrame,
             .applyInArrow(score, schema))
 
 
+def finite(vector: str) -> Column:
+    """Whether a vector has a similarity to anything: no null and no value that is not finite."""
+    return F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+
+
+def finite_queries(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", "query").where(finite("query"))
+
+
+def result_schema(vectors: DataFrame, key: str, queries: DataFrame) -> str:
+    types = {**dict(vectors.select(key).dtypes), **dict(queries.select("query_id").dtypes)}
+    return f"query_id {types['query_id']}, `{key}` {types[key]}, similarity double"
+
+
+def _none(vectors: DataFrame, key: str, queries: DataFrame) -> DataFrame:
+    return vectors.sparkSession.createDataFrame(
+        [], f"{result_schema(vectors, key, queries)}, rank bigint")
+
+
 def vector_topk(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
     """The k most similar vectors for every query vector (``query_id``, ``query``), exactly.
 
     Similarities come from matrix products inside the tasks, and each task passes on k candidates
     per query, however many batches it reads. Vectors of another length than the queries, with a
-    null inside or with a value that is not finite have no similarity and are left out; queries of
-    different lengths are an error. A set of queries that fits one block is sent to every task; a larger one
+    null inside or with a value that is not finite have no similarity and are left out, and so are such
+    queries; queries of different lengths are an error. A set of queries that fits one block is sent to every task; a larger one
     is cut into blocks and shuffled to meet the vectors. ``key`` must be unique.
     """
-    queries = queries.select("query_id", "query").where(F.col("query").isNotNull())
+    queries = finite_queries(queries)
     length = queries.agg(F.min(F.size("query")).alias("a"), F.max(F.size("query")).alias("b")).first()
     if length["a"] != length["b"]:
         raise ValueError(f"queries of {length['a']} to {length['b']} values")
-    whole = ~F.exists(vector, lambda x: x.isNull())
-    source = vectors.where((F.size(vector) == F.lit(length["a"])) & whole).select(key, vector)
-    types = {**dict(source.dtypes), **dict(queries.dtypes)}
-    schema = f"query_id {types['query_id']}, `{key}` {types[key]}, similarity double"
+    if not length["a"]:
+        return _none(vectors, key, queries)
+    source = vectors.where((F.size(vector) == F.lit(length["a"])) & finite(vector)).select(key, vector)
+    schema = result_schema(vectors, key, queries)
     listed = queries.limit(QUERY_BLOCK + 1).toArrow()
     if listed.num_rows <= QUERY_BLOCK:
         found = _few_queries(source, key, listed, k, schema)
