@@ -273,9 +273,10 @@ def _linked(source: DataFrame, nodes: DataFrame, pairs: DataFrame, segments_of,
     # Rows that repeat an id and a text would meet each other in the joins below.
     texts = (source.join(asked, "id", "left_semi").groupBy("id", F.xxhash64("text").alias("key"))
              .agg(F.min("text").alias("text")))
+    # Other texts of a repeated id are nodes of no pair; the joins below leave them out.
     segments = materialize(
-        texts.select("text").mapInArrow(segments_of, "node bigint, fragment int, keys binary")
-        .join(sides, "node", "left_semi"), "fragment-segments")
+        texts.select("text").mapInArrow(segments_of, "node bigint, fragment int, keys binary"),
+        "fragment-segments")
     met = (pairs.select("u", "v").join(segments.withColumnRenamed("node", "u"), "u")
            .join(segments.select(F.col("node").alias("v"), "fragment", F.col("keys").alias("other")),
                  ["v", "fragment"]))
