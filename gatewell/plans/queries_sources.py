@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gatewell.plans.fixtures import (
@@ -21,9 +23,31 @@ from gatewell.streaming.load import file_stream, load_available
 @query("scan_projection", """
     SELECT o_orderkey, o_custkey, o_totalprice FROM orders""")
 def scan_projection(spark: SparkSession, folder: str) -> DataFrame:
-    load(spark, folder, "orders").createOrReplaceTempView("gatewell_orders")
-    frames = load_tables(spark, ["gatewell_orders"])
-    return frames["gatewell_orders"].select("o_orderkey", "o_custkey", "o_totalprice")
+    (orders,) = _named_sources(spark, folder, ["orders"])
+    return orders.select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+def _named_sources(spark: SparkSession, folder: str, tables: list[str]) -> list[DataFrame]:
+    """Views over the folder's tables, all loaded by name in one call. A folder has its own names."""
+    place = f"{zlib.crc32(folder.encode()):08x}"
+    names = [f"gatewell_{table}_{place}" for table in tables]
+    for table, name in zip(tables, names):
+        load(spark, folder, table).createOrReplaceTempView(name)
+    frames = load_tables(spark, names)
+    return [frames[name] for name in names]
+
+
+@query("scan_named_sources", """
+    SELECT 'orders' AS source, o_orderkey AS id, o_custkey AS custkey, o_totalprice AS amount
+    FROM orders
+    UNION ALL SELECT 'customer', c_custkey, c_custkey, c_acctbal FROM customer""")
+def scan_named_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Both sources of the mart, of each the columns that are needed."""
+    orders, customer = _named_sources(spark, folder, ["orders", "customer"])
+    return orders.select(
+        F.lit("orders").alias("source"), F.col("o_orderkey").alias("id"),
+        F.col("o_custkey").alias("custkey"), F.col("o_totalprice").alias("amount")).unionAll(
+        customer.select(F.lit("customer"), "c_custkey", "c_custkey", "c_acctbal"))
 
 
 @query("source_row_counts", " UNION ALL ".join(
