@@ -31,20 +31,20 @@ class TermIndex:
         """Index documents; those that are in the index already are left alone.
 
         Null keys are left out. A term of a document is one row, counted before the shuffle, so a
-        frequent term is spread over the files of its bucket.
+        frequent term is spread over the files of its bucket. The postings are shuffled once, by
+        bucket and term, and counted and written where they land.
         """
         spark = docs.sparkSession
         new = docs.select(F.col(quoted(key)).alias("document"), F.col(quoted(text)).alias("text"))
         new = new.where("document IS NOT NULL")
         if spark.catalog.tableExists(self.documents):
             new = new.join(spark.table(self.documents), "document", "left_anti")
-        words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), NOT_LETTERS), "")
-        postings = materialize(
-            new.select("document", F.explode(words).alias("term")).groupBy("document", "term")
-            .agg(F.count(F.lit(1)).alias("tf")), "postings")
         known = materialize(new.select("document").distinct(), "indexed")
-        (postings.select("term", "document", "tf", self._bucket("term").alias("bucket"))
-         .hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
+        words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), NOT_LETTERS), "")
+        terms = new.select("document", F.explode(words).alias("term"))
+        (terms.withColumn("bucket", self._bucket("term")).repartition("bucket", "term")
+         .groupBy("bucket", "term", "document").agg(F.count(F.lit(1)).alias("tf"))
+         .select("term", "document", "tf", "bucket").sortWithinPartitions("bucket", "term")
          .write.mode("append").format("parquet").partitionBy("bucket").saveAsTable(self.postings))
         known.write.mode("append").format("parquet").saveAsTable(self.documents)
 

@@ -354,6 +354,20 @@ def test_index_is_extended_and_read_by_bucket(spark):
         "[[bucket", "[bucket") or "PartitionFilters: [isnotnull(bucket" in plan
 
 
+def test_index_postings_are_counted_in_their_one_shuffle(spark, monkeypatch):
+    import gatewell.retrieval.index as index_module
+    staged = []
+    real = index_module.materialize
+    monkeypatch.setattr(index_module, "materialize",
+                        lambda df, label: staged.append(label) or real(df, label))
+    index = TermIndex(fresh_table(spark, "postings"), fresh_table(spark, "indexed"), 4)
+    rows = spark.createDataFrame([(1, "a a"), (1, "A b"), (2, "b")], "d bigint, t string")
+    index.add(rows, "d", "t")
+    assert "postings" not in staged  # they are not written twice
+    assert {(r["term"], r["document"], r["tf"]) for r in spark.table(index.postings).collect()} == {
+        ("a", 1, 3), ("b", 1, 1), ("b", 2, 1)}
+
+
 def test_new_rows_without_times_come_once(spark):
     kind = "id int, ts timestamp_ntz"
     target = spark.createDataFrame([(1, None), (None, None)], kind)
