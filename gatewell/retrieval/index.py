@@ -32,7 +32,7 @@ class TermIndex:
 
         Null keys are left out. A term of a document is one row, counted before the shuffle, so a
         frequent term is spread over the files of its bucket. The postings are shuffled once, by
-        bucket and term, and counted and written where they land.
+        bucket, term and document, and counted and written where they land.
         """
         spark = docs.sparkSession
         new = docs.select(F.col(quoted(key)).alias("document"), F.col(quoted(text)).alias("text"))
@@ -42,7 +42,7 @@ class TermIndex:
         known = materialize(new.select("document").distinct(), "indexed")
         words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), NOT_LETTERS), "")
         terms = new.select("document", F.explode(words).alias("term"))
-        (terms.withColumn("bucket", self._bucket("term")).repartition("bucket", "term")
+        (terms.withColumn("bucket", self._bucket("term")).repartition("bucket", "term", "document")
          .groupBy("bucket", "term", "document").agg(F.count(F.lit(1)).alias("tf"))
          .select("term", "document", "tf", "bucket").sortWithinPartitions("bucket", "term")
          .write.mode("append").format("parquet").partitionBy("bucket").saveAsTable(self.postings))
