@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gatewell.governance import column_log
 from gatewell.governance.column_log import STEP_SCHEMA, column_summary, logged_column_edges
 from gatewell.governance.lineage import column_edges
 from gatewell.session import load
@@ -79,6 +80,40 @@ def test_long_chain_takes_few_rounds(spark, monkeypatch):
     assert written.count("column-inputs") <= 11
 
 
+def busy_rows(draw, run, steps):
+    """Several rows a step, names that look like codes, and columns read and written in one step."""
+    rows = []
+    for number in range(1, steps):
+        for _ in range(draw.randrange(1, 4)):
+            out = draw.choice(["p", "q", ":p", "1:p"])
+            inputs = [draw.choice([("raw", "x"), ("", "x"), ("r:", "1:p"), ("1", ":p"),
+                                   *[(None, c) for c in ("p", "q", ":p", "1:p", "")] * 2])
+                      for _ in range(draw.randrange(4))]
+            rows.append((run, number, out, inputs if draw.random() < 0.8 else None))
+    return rows
+
+
+def test_short_and_long_runs_against_a_walk(spark):
+    draw = random.Random(5)
+    rows = [r for run in "abcdef" for r in busy_rows(draw, run, 12)]
+    short = walked(rows)
+    assert edges_with_nulls(spark, rows, 5_000_000) == short
+    assert edges_with_nulls(spark, rows, 3) == short
+    # One run with most of the rows and some with few, in one log.
+    rows += busy_rows(draw, "long", column_log.WALKED)
+    assert edges_with_nulls(spark, rows, 5_000_000) == walked(rows)
+
+
+def test_short_runs_write_no_rounds(spark, monkeypatch):
+    written = []
+    plain = column_log.materialize
+    monkeypatch.setattr(column_log, "materialize", lambda df, label: (
+        written.append(label), plain(df, label))[1])
+    rows = [(f"r{r}", n, "c", [(None, "c")] if n else [("raw", "x")]) for r in range(50) for n in range(20)]
+    assert edges(spark, rows) == sorted((f"r{r}", "c", "raw", "x") for r in range(50))
+    assert written == ["column-long-runs"]
+
+
 def test_constants_drops_and_what_is_missing(spark):
     rows = [("r", 1, "one", []), ("r", 1, "gone", [("raw", "x")]), ("r", 2, "kept", [(None, "gone")]),
             ("r", 2, "gone", None), ("r", 3, "late", [(None, "gone")]), (None, 1, "z", [("raw", "x")]),
