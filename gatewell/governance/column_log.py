@@ -44,8 +44,8 @@ def _src_and_col(code: Column) -> tuple[Column, Column]:
             F.substring(code, start + F.coalesce(long, F.lit(0)), F.length(code)))
 
 
-def _walked(steps: DataFrame, runs: DataFrame) -> DataFrame:
-    """Edges of short runs: the rows of a run are sorted and folded into the origins of its columns."""
+def _walked(steps: DataFrame) -> DataFrame:
+    """Short runs, one row each: its rows are sorted and folded into the origins of its columns."""
     codes = F.transform(F.filter("in_cols", lambda i: i["col"].isNotNull()),
                         lambda i: _code(i["src"], i["col"]))
     # A step's drops come before what it makes, and the rows of one column are neighbours.
@@ -74,13 +74,16 @@ def _walked(steps: DataFrame, runs: DataFrame) -> DataFrame:
     start = F.struct(F.lit(None).cast(steps.schema["step"].dataType).alias("step"),
                      F.lit(None).cast("string").alias("made"), empty.alias("before"),
                      empty.alias("now"))
+    return logs.select("run_id", F.aggregate("log", start, after, lambda s: s["now"]).alias("columns"))
+
+
+def _origins(walked: DataFrame) -> DataFrame:
+    others = [c for c in walked.columns if c != "columns"]
     src, col = _src_and_col(F.col("origin"))
-    return (logs.select("run_id", F.aggregate("log", start, after, lambda s: s["now"]).alias("columns"))
-            .join(runs, "run_id")
-            .select("run_id", "target", "ts", F.explode("columns").alias("out", "origins"))
-            .select("run_id", "target", "ts", "out", F.explode("origins").alias("origin"))
-            .select(src.alias("src"), F.col("target").alias("dst"), col.alias("src_col"),
-                    F.expr("substring(out, 2)").alias("dst_col"), "run_id", "ts"))
+    return (walked.select(*others, F.explode("columns").alias("out", "origins"))
+            .select(*others, "out", F.explode("origins").alias("origin"))
+            .select(*others, src.alias("src"), col.alias("src_col"),
+                    F.expr("substring(out, 2)").alias("dst_col")))
 
 
 def _versions(steps: DataFrame, max_group: int) -> tuple[DataFrame, DataFrame]:
@@ -107,8 +110,8 @@ def _versions(steps: DataFrame, max_group: int) -> tuple[DataFrame, DataFrame]:
     return writes, reads
 
 
-def _followed(steps: DataFrame, runs: DataFrame, max_group: int) -> DataFrame:
-    """Edges of runs of any length.
+def _followed(steps: DataFrame, max_group: int) -> DataFrame:
+    """Origins of the columns of runs of any length.
 
     Each write of a column is a version. Versions point at the versions and source columns they were
     computed from; the pointers are then doubled, so a chain of n steps is followed in about log2(n)
@@ -149,9 +152,8 @@ def _followed(steps: DataFrame, runs: DataFrame, max_group: int) -> DataFrame:
         found = materialize(
             found.where("version IS NULL").unionByName(followed).distinct(), "column-inputs")
 
-    return (skew_join(runs, found.join(final, ["run_id", "out_col", "out_version"]), "run_id", "run_id")
-            .select("src", F.col("target").alias("dst"), F.col("col").alias("src_col"),
-                    F.col("out_col").alias("dst_col"), "run_id", "ts"))
+    return (found.join(final, ["run_id", "out_col", "out_version"])
+            .select("run_id", "src", F.col("col").alias("src_col"), F.col("out_col").alias("dst_col")))
 
 
 def logged_column_edges(steps: DataFrame, runs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
@@ -172,11 +174,14 @@ def logged_column_edges(steps: DataFrame, runs: DataFrame, max_group: int = MAX_
     long = materialize(steps.groupBy("run_id").agg(entries.alias("entries"))
                        .where(F.col("entries") > min(WALKED, max_group)), "column-long-runs")
     if long.isEmpty():
-        return _walked(steps, runs)
-    marked = skew_join(steps, long, "run_id", "run_id", "left")
-    short = marked.where("entries IS NULL").select(steps.columns)
-    rest = materialize(marked.where("entries IS NOT NULL").select(steps.columns), "column-long-steps")
-    return _walked(short, runs).unionByName(_followed(rest, runs, max_group))
+        found = _origins(_walked(steps).join(runs, "run_id"))
+    else:
+        marked = skew_join(steps, long, "run_id", "run_id", "left")
+        short = marked.where("entries IS NULL").select(steps.columns)
+        rest = materialize(marked.where("entries IS NOT NULL").select(steps.columns), "column-long-steps")
+        found = (_origins(_walked(short)).unionByName(_followed(rest, max_group))
+                 .join(runs, "run_id"))
+    return found.select("src", F.col("target").alias("dst"), "src_col", "dst_col", "run_id", "ts")
 
 
 def column_summary(edges: DataFrame) -> DataFrame:
